@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import mixing, quality, sharding
+from tessella.llm import decontam, group_join, mixing, quality, sharding
 from tessella.llm.tables import shared_folder
 
 
@@ -16,6 +16,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.kept_rows(docs)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that with the smallest doc_id."""
+    return group_join.one_of_each(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the benchmark does not contaminate."""
+    return decontam.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.mix(docs)
@@ -26,7 +36,13 @@ def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return sharding.shards(docs).drop("copy")
 
 
-STAGES = [("quality rules", quality_stage), ("mixing", mixing_stage), ("sharding", sharding_stage)]
+STAGES = [
+    ("quality rules", quality_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("mixing sources", mixing_stage),
+    ("sharding", sharding_stage),
+]
 
 #: The mix is decided by folds over hashed blocks and the shards by repeated splits, which SQL can't express.
 ORACLE_SQL = None

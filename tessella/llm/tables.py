@@ -62,3 +62,9 @@ def numbered(df: DataFrame, keys: list[str]) -> DataFrame:
 def uniform(*cols: Column | str, seed: int) -> Column:
     """A number in [0, 1) that depends only on the values and the seed."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11).cast("double") / F.lit(float(1 << 53))
+
+
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Arrow batches of few rows, so that very long texts don't meet by the thousand in one batch."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
