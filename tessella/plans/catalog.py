@@ -206,7 +206,7 @@ filtered("filter_ops_is_null", "orders_new", "legacy_id", {"field": "priority",
 filtered("filter_ops_not_null", "orders_new", "legacy_id", {"field": "priority", "op": "not_null"}, "trim(priority) <> ''")
 for op, sign in (("gt", ">"), ("gte", ">="), ("lt", "<"), ("lte", "<=")):
     filtered(f"filter_ops_{op}", "orders_old", "order_id", {"field": "amount", "op": op, "value": 100000}, f"amount {sign} 100000")
-filtered("filter_ops_date", "orders_old", "order_id", {"field": "order_date", "op": "lt", "value": "1995-01-01"}, "order_date < date '1995-01-01'")
+filtered("filter_ops_date", "orders_old", "order_id", {"field": "order_date", "op": "lt", "value": "1996-06-01"}, "order_date < timestamp '1996-06-01'")
 filtered("filter_nested", "orders_new", "legacy_id", {"any": [{"all": [{"field": "status_code", "value": "OPEN"}, {"not": {"field": "priority", "op": "in", "value": ["1-URGENT", "2-HIGH"]}}]}, {"field": "amount", "op": "lt", "value": 2000}]}, "(status_code = 'OPEN' and coalesce(trim(priority) not in ('1-URGENT', '2-HIGH'), true)) or amount < 2000")
 
 
