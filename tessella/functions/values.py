@@ -15,7 +15,8 @@ from ..errors import SpecError
 
 NUMBER = "decimal(38,10)"
 DEFAULT = ("trim",)
-_EDGES = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+#: All characters that count as white space.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def text(c: Column) -> Column:
@@ -24,7 +25,7 @@ def text(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(text(c), _EDGES, "")
+    return F.btrim(text(c), F.lit(WHITE))
 
 
 def is_blank(c: Column) -> Column:

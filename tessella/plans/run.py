@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import __version__
 from ..errors import DataError
 from ..functions.hashing import digest
+from ..functions.predicates import columns_of, compiled
 from ..functions.values import DEFAULT, key_part
 from ..operators import governance, hierarchy, identity, materiality
 from ..operators.checks import MISSING
@@ -60,14 +61,14 @@ class _Run:
         self.inputs[name] = input_of(endpoint, self.base) if name not in self.given else {"path": None, "sha256": None}
         return self.given[name] if name in self.given else read_endpoint(self.spark, endpoint, self.base)
 
-    def side(self, name: str) -> Keyed:
-        e = self.spec[name]
-        return keyed(self.frame(name, e), e["key"], e.get("key_normalize"), name)
-
     def root(self) -> None:
-        spec, raw = self.spec, {n: self.side(n) for n in ("source", "target")}
-        sides = {n: s.where(spec[n].get("filter")) for n, s in raw.items()}
-        self.raw = raw
+        spec, raw, sides = self.spec, {}, {}
+        for n in ("source", "target"):
+            e, frame = spec[n], self.frame(n, spec[n])
+            raw[n] = keyed(frame, e["key"], e.get("key_normalize"), n)
+            # The filter stands below the keys, where it can reach the scan.
+            kept = frame.where(compiled(e["filter"], columns_of(frame, n))) if e.get("filter") else frame
+            sides[n] = keyed(kept, e["key"], e.get("key_normalize"), n)
         self.extra["selection"] = {n: {"raw_records": raw[n].rows.count(), "selected_records": sides[n].rows.count(), "filter": spec[n].get("filter")} for n in raw}
         self.own_roots = raw
         if "identity" in spec:

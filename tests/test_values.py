@@ -62,3 +62,9 @@ def test_malformed_predicates(p):
 def test_hashes_agree_inside_and_outside_of_plans(spark):
     assert cell(spark, "x", lambda c: digest_column(F.struct(c.alias("a"), F.lit("é").alias("b")))) == digest({"b": "é", "a": "x"})
     assert cell(spark, 'q"é', lambda c: masked_column(c, "hash")) == masked('q"é', "hash")
+
+
+def test_strip_is_that_of_text(spark):
+    every = [chr(c) for c in range(1, 0x3100) if not 0xD800 <= c < 0xE000]
+    frame = spark.createDataFrame([(f"{c}x{c}",) for c in every], "c string").select(normalize(F.col("c"), ["trim"]).alias("x"))
+    assert [r["x"] for r in frame.collect()] == [f"{c}x{c}".strip() for c in every]
