@@ -37,7 +37,7 @@ class Fence:
 #: Production parameters. ``least`` keeps a group in which all documents agree from rejecting its first outlier.
 FENCES = (
     Fence("symbol_ratio", 3.0, 0.03),
-    Fence("dup_line_ratio", 3.0, 0.1),
+    Fence("dup_line_ratio", 3.0, 0.15),
     Fence("mean_word", 4.0, 0.75, low=True),
 )
 MIN_ROWS = 200
