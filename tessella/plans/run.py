@@ -209,7 +209,8 @@ class _Run:
             if clash := governance.ambiguous(found).limit(1).collect():
                 raise DataError(f"several exceptions match {clash[0]['check_id']} {'|'.join(clash[0]['ref'])}")
             net = {r["check_id"]: r for r in governance.net(found).collect()}
-            taken = {(r["check_id"], r["ref_kind"], tuple(r["ref"]), r["kind"]): r["entry"] for r in found.where("entry is not null").select("check_id", "ref_kind", "ref", "kind", "entry").limit(10_000).collect()}
+            shown = self.spark.createDataFrame([(r.id, *self.ref(d)) for r in able for d in r.details], "check_id string, ref_kind string, ref array<string>, kind string")
+            taken = {(r["check_id"], r["ref_kind"], tuple(r["ref"]), r["kind"]): r["entry"] for r in found.where("entry is not null").join(shown, ["check_id", "ref_kind", "ref", "kind"]).select("check_id", "ref_kind", "ref", "kind", "entry").collect()}
             for r in able:
                 n = net[r.id]
                 r.metrics |= {k: n[k] for k in ("gross_failures", "accepted_exceptions", "unaccepted_failures")}
@@ -219,9 +220,7 @@ class _Run:
                 rest = r.differences.agg(F.max("absolute_difference").alias("a"), F.max("percentage_difference").alias("p")).first()
                 r.largest, r.largest_percentage = rest["a"], rest["p"]
                 for d in r.details:
-                    kind = "key" if "key" in d else "group"
-                    ref = d[kind] if isinstance(d[kind], list) else [d[kind]]
-                    what = d.get("difference") or ("mismatch" if kind == "key" else "group")
+                    kind, ref, what = self.ref(d)
                     entry = taken.get((r.id, kind, tuple(ref), what))
                     if what == "unexpected_in_target" and r.metrics.get("allow_unexpected"):
                         continue
@@ -239,6 +238,13 @@ class _Run:
         self.summary |= {"accepted_exceptions": len(by["used"]), "unused_exceptions": len(by["unused"]), "expired_exceptions": len(by["expired"])}
         self.extra["exception_governance"] = {"version": 1, "expiry_policy": severity, "entries_total": len(entries), **by}
 
+    @staticmethod
+    def ref(detail: Mapping) -> tuple[str, list[str], str]:
+        """Kind of reference, reference and kind of difference of a detail, as ``Result.differences`` has them."""
+        kind = "key" if "key" in detail else "group"
+        ref = detail[kind] if isinstance(detail[kind], list) else [detail[kind]]
+        return kind, ref, detail.get("difference") or ("mismatch" if kind == "key" else "group")
+
     @staticmethod
     def entry(e: Mapping, status: str) -> dict:
         return {k: str(v) if k == "expires" else v for k, v in e.items() if v is not None} | {"status": status}
