@@ -6,9 +6,10 @@ earlier line need not be kept itself.
 
 1. Equal lines are one; only its first occurrence goes on.
 2. Two lines within one edit share a long prefix or a long suffix. Lines whose half is nobody else's are done.
-3. Each remaining line emits the hash of itself and of itself without each character. Lines that are equal
-   without the character at the same place differ by a substitution; a line that equals another one without
-   a character differs by an insertion. In either case the earliest of those that meet is enough, so no pairs
+3. Each remaining line is cut into blocks; only blocks whose surroundings another line shares go on, and emit
+   the hash of the line and of the line without each of the block's characters. Lines that are equal without
+   the character at the same place differ by a substitution; a line that equals another one without a
+   character differs by an insertion. In either case the earliest of those that meet is enough, so no pairs
    within a group are made. The pair is verified by its edit distance.
 
 DataFrame functions only. Rows: null and empty texts have no lines to compare; shorter lines are always kept
@@ -48,6 +49,24 @@ def halves(line: Column) -> Column:
     return F.when(half(n) == half(n + 1), key(half(n))).otherwise(F.concat(key(half(n)), key(half(n + 1))))
 
 
+def cuts(line: Column, most: Column) -> Column:
+    """The line without each of its blocks: ``h``, a hash of what is left on both sides, and ``middle``, the block.
+
+    most: the length of the longer line of a pair. Blocks of about its square root start at multiples of their
+    size from the left, and what is right of them is counted from the end, so that two lines within one edit
+    have equal sides around some block and middles within one edit.
+    """
+    size = F.pow(F.lit(2.0), F.floor(F.log2(most.cast("double")) / 2)).cast("int")
+    last = F.floor((most - 1) / size).cast("int") - 1
+    n = F.length(line)
+
+    def cut(j: Column) -> Column:
+        right = (last - j) * size
+        return F.struct(F.xxhash64(size, last, j, F.substring(line, F.lit(1), j * size), F.substring(line, n - right + 1, right)).alias("h"), F.substring(line, j * size + 1, n - last * size).alias("middle"))
+
+    return F.transform(F.sequence(F.lit(0), last), cut)
+
+
 def distinct_lines(docs: DataFrame) -> DataFrame:
     """doc_id, tx, line_no of the first occurrence of each distinct line, and the keys of its halves."""
     keyed = lines(docs).select(F.struct("doc_id", "tx", "line_no").alias("at"), F.unhex(F.md5("line")).alias("print"), halves(F.col("line")).alias("halves"))
@@ -64,10 +83,13 @@ def neighbours(docs: DataFrame, first: DataFrame) -> DataFrame:
     found = docs.select("doc_id", F.hash(text).alias("tx"), text.alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("tx") == F.col("x_"))).dropDuplicates(["doc_id", "tx"])
     each = found.withColumn("__l", F.split("text", "\n", -1)).select("doc_id", "tx", "__l", F.explode("nos").alias("line_no"))
     each = staged(each.select(F.struct("doc_id", "tx", "line_no").alias("at"), F.get("__l", F.col("line_no")).alias("line")), "line-candidates")
-    n = F.length("line")
-    without = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("i"), F.xxhash64(F.concat(F.substring("line", F.lit(1), i - 1), F.substring("line", i + 1, n))).alias("v")))
-    gone = staged(each.select("at", F.explode(without).alias("w")).select("at", F.col("w.i").alias("i"), F.col("w.v").alias("v")), "line-variants")
-    whole = each.select("at", F.xxhash64("line").alias("v"))
+    blocks = each.select("at", F.explode(F.array_distinct(F.concat(cuts(F.col("line"), F.length("line")), cuts(F.col("line"), F.length("line") + 1)))).alias("c")).select("at", "c.h", "c.middle")
+    blocks = blocks.withColumn("m", F.count(F.lit(1)).over(W.partitionBy("h"))).where("m > 1").drop("m")
+    n = F.length("middle")
+    without = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("i"), F.xxhash64("h", F.concat(F.substring("middle", F.lit(1), i - 1), F.substring("middle", i + 1, n))).alias("v")))
+    blocks = staged(blocks, "line-blocks")
+    gone = staged(blocks.select("at", F.explode(without).alias("w")).select("at", F.col("w.i").alias("i"), F.col("w.v").alias("v")), "line-variants")
+    whole = blocks.select("at", F.xxhash64("h", "middle").alias("v"))
     # Substitutions: the same place is left out.
     least = gone.groupBy("v", "i").agg(F.min("at").alias("earlier"), F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("v").alias("v_"), F.col("i").alias("i_"), "earlier")
     changed = gone.join(least, (F.col("v") == F.col("v_")) & (F.col("i") == F.col("i_"))).where("earlier < at").select("at", "earlier")

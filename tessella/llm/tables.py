@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -28,16 +29,32 @@ def shared_folder(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
-    The lineage is cut, so a lost executor costs a reread and not a recomputation. The files go when
-    the driver's file system is closed.
+    The lineage is cut, so a lost executor costs a reread and not a recomputation. What the table was made
+    of is no longer needed then: a collection of garbage on the driver lets Spark delete the shuffle files
+    of plans that nobody holds any more. The table's files go when the driver's file system is closed.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessella/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    place, files = _files(spark, path)
+    files.deleteOnExit(place)
+    schema = df.schema
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
+def _files(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a staged table that nothing will read again."""
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        place, files = _files(table.sparkSession, path)
+        files.delete(place, True)
 
 
 def empty_safe_text(docs: DataFrame) -> Column:
