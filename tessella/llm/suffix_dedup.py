@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import empty_safe_text, small_batches, staged
+from .tables import discard, empty_safe_text, small_batches, staged
 from .words import _BASE, BLOCK, U, as_bytes, mix, powers
 from .words import _VALUES as VALUES
 
 LENGTH = 200
 GRAM = 32
 PLACES = LENGTH - GRAM + 1
-PIECE = 24
+PIECE = 57
 CORE = LENGTH - PIECE + 1
 CROWD = 2000
 #: Bytes of pieces that are sorted at once.
@@ -308,6 +308,7 @@ def removed(docs: DataFrame) -> DataFrame:
     every = staged(all_runs(docs), "suffix-runs")
     anchors = every.groupBy("h").agg(F.sum("m").alias("t"), F.min("rh").alias("r0"), F.max("rh").alias("r1")).where("t > 1").select(F.col("h").alias("h_"), (F.col("r0") == F.col("r1")).alias("alike"))
     twice = staged(every.join(anchors, F.col("h") == F.col("h_")).drop("h_"), "suffix-anchors")
+    discard(every)
     classes = twice.where("not alike").groupBy("h", "rh").agg(F.sum("m").alias("c"), F.min(F.struct("doc_id", "tx", "start", "n", "off")).alias("rep"))
     classes = staged(classes, "suffix-classes")
     reps = classes.select(F.col("rep.doc_id").alias("d_"), F.col("rep.tx").alias("x_"), F.struct("h", "rh", "rep.start", "rep.n", "rep.off").alias("run"))
@@ -315,12 +316,13 @@ def removed(docs: DataFrame) -> DataFrame:
     asked = reps.unionByName(touched).groupBy("d_", "x_").agg(F.collect_list("run").alias("runs"))
     texts = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("tx") == F.col("x_"))).drop("d_", "x_")
     texts = staged(texts, "suffix-texts")
-    # Rows that agree in doc_id and text cut the same pieces; one of each is enough.
-    pieces = staged(cut_pieces(texts.where("size(runs) > 0")).dropDuplicates(["h", "rh", "j"]), "suffix-pieces")
+    # Rows that agree in doc_id and text cut the same pieces, which then count as repeated; and so they are.
+    pieces = staged(cut_pieces(texts.where("size(runs) > 0")), "suffix-pieces")
     distinct = pieces.groupBy("core", "print").agg(F.count(F.lit(1)).alias("same"))
     crowd = distinct.groupBy("core").agg(F.count(F.lit(1)).alias("k"), F.sum("same").alias("t")).where("t > 1").select(F.col("core").alias("c_"), (F.col("k") > 1).alias("mixed"), (F.col("k") > CROWD).alias("crowded"))
     near = pieces.join(crowd, F.col("core") == F.col("c_")).drop("c_")
     near = staged(near, "suffix-near")
+    discard(pieces)
     one = near.where("mixed").dropDuplicates(["core", "print"])
     masks = sorted_pieces(one.where("not crowded")).unionByName(crowded_pieces(one.where("crowded")))
     counted = near.groupBy("core", "print").agg(F.count(F.lit(1)).alias("same"), F.max("o0").alias("o0"), F.max("o1").alias("o1"))
