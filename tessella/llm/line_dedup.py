@@ -1,18 +1,21 @@
-"""Line dedup by a deletion-neighbourhood join, for an edit bound of one character.
+"""Line dedup by a deletion-neighbourhood join, for an edit bound that grows with the line.
 
-Lines of MIN_CHARS characters or more are compared over the whole corpus, in the order of doc_id and line
-number. A line goes if an earlier line is equal, or lies within one insertion, deletion or substitution; the
+Lines that are not blank are compared over the whole corpus, in the order of doc_id and line number. A line goes
+if an earlier line is equal, whatever its length. A line of MIN_CHARS characters or more also goes if an earlier
+one of MIN_CHARS or more lies within as many insertions, deletions and substitutions as the shorter of the two
+allows: one below 64 characters, two below 128, three below 256, four above, and never more than ``edits``. The
 earlier line need not be kept itself.
 
 1. Equal lines are one; only its first occurrence goes on.
-2. Two lines within one edit share a long prefix or a long suffix. Lines whose half is nobody else's are done.
-3. Each remaining line is cut into blocks; only blocks whose surroundings another line shares go on, and emit
-   the hash of the line and of the line without each of the block's characters. Lines that are equal without
-   the character at the same place differ by a substitution; a line that equals another one without a
-   character differs by an insertion. In either case the earliest of those that meet is enough, so no pairs
-   within a group are made. The pair is verified by its edit distance.
-
-DataFrame functions only. Rows: null and empty texts have no lines to compare; shorter lines are always kept
+2. A line is cut into one piece more than it has edits. Without the pieces that the edits touch, two lines within
+   the bound are equal: one piece at least is left, and it stands at a place that differs by no more than the
+   edits before it. Pieces are as long as the line's length class says, and are counted from the left in the left
+   half and from the right in the right half, so that lengths within a class agree on them. Each line emits the
+   hash of what is left, at each place it can have.
+3. Lines that meet are verified by their edit distance. Where more than CROWD lines meet, what they share is
+   taken out and the rest is cut again, as it lies within the same bound.
+
+DataFrame functions only. Rows: null and empty texts have no lines to compare; blank lines are always kept
 and may repeat. Rows that share a doc_id are told apart by a hash of their texts; rows that share the text too are
 one document, and each of them gets its result.
 """
@@ -23,99 +26,151 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .tables import empty_safe_text, staged
+from .tables import BLANKS, empty_safe_text, staged
 
+#: Lines with fewer characters are compared for equality only.
 MIN_CHARS = 32
-#: Shared halves are compared at lengths that are multiples of STEP.
-STEP = 8
+#: Edits that the longest lines are allowed in the registered query.
+MOST_EDITS = 4
+#: Lines that meet in one key before the rest of them is cut again.
+CROWD = 16
+#: Letters that are counted in lines of a crowd. An edit changes two counts by one at most.
+LETTERS = "etanoirshdlu"
+#: Widths of the length classes of lines, and of what is left of them.
+STEP, REST_STEP = 32, 16
+
+
+def filled(line: Column) -> Column:
+    return F.translate(line, BLANKS, "") != ""
 
 
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, tx, line_no, line of each line that is compared."""
     text = empty_safe_text(docs)
     each = docs.select("doc_id", F.hash(text).alias("tx"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-    return each.where(F.length("line") >= MIN_CHARS)
+    return each.where(filled(F.col("line")))
 
 
-def half(n: Column) -> Column:
-    """Characters at either end that a line of n characters shares with any longer one within one edit, at least at one end."""
-    return (F.floor(F.floor((n - 1) / 2) / STEP) * STEP).cast("int")
+def allowed(n: Column, edits: int) -> Column:
+    """The edit bound of a pair whose shorter line has n characters."""
+    return F.least(F.lit(edits), F.when(n < 64, 1).when(n < 128, 2).when(n < 256, 3).otherwise(4))
 
 
-def halves(line: Column) -> Column:
-    """Keys of the halves of a line. A line meets lines one longer at their lengths too."""
-    n = F.length(line)
-    key = lambda q: F.array(F.xxhash64(F.lit(0), q, F.substring(line, F.lit(1), q)), F.xxhash64(F.lit(1), q, F.substring(line, n - q + 1, q)))
-    return F.when(half(n) == half(n + 1), key(half(n))).otherwise(F.concat(key(half(n)), key(half(n + 1))))
+def places(k: int) -> list[tuple[bool, int, int]]:
+    """(counted from the right, pieces before it, shift) of each piece that can be left after k edits."""
+    left = [(False, i, d) for i in range((k + 2) // 2) for d in range(-i, i + 1)]
+    return left + [(True, i, d) for i in range((k + 1) // 2) for d in range(-i, i + 1)]
 
 
-def cuts(line: Column, most: Column) -> Column:
-    """The line without each of its blocks: ``h``, a hash of what is left on both sides, and ``middle``, the block.
+def measured(rows: DataFrame, edits: int, step: int, k: Column | None = None) -> DataFrame:
+    """``rows`` (line) with its length, and base, k and size (of a piece) by its class and by the class below.
 
-    most: the length of the longer line of a pair. Blocks of about its square root start at multiples of their
-    size from the left, and what is right of them is counted from the end, so that two lines within one edit
-    have equal sides around some block and middles within one edit.
+    Columns of their own, so that they are computed once and not for each piece. k: the bound, if the line is
+    what is left of a longer one.
     """
-    size = F.pow(F.lit(2.0), F.floor(F.log2(most.cast("double")) / 2)).cast("int")
-    last = F.floor((most - 1) / size).cast("int") - 1
-    n = F.length(line)
+    rows = rows.withColumn("__n", F.length("line"))
+    rows = rows.withColumn("__base", (F.col("__n") - F.col("__n") % step).cast("int"))
+    rows = rows.withColumns({"__k": allowed(F.col("__base"), edits) if k is None else k, "__k_below": allowed(F.col("__base") - step, edits) if k is None else k})
+    return rows.withColumns({"__size": F.floor(F.col("__base") / (F.col("__k") + 1)).cast("int"), "__size_below": F.floor((F.col("__base") - step) / (F.col("__k_below") + 1)).cast("int")})
+
+
+def cut(edits: int, step: int, whole: bool = False) -> Column:
+    """Hashes of what can be left of a line of ``measured``, also as shorter lines of the class below see it.
+
+    whole: h, from, size and k of each piece instead.
+    """
+
+    def pieces(base: Column, k: Column, size: Column) -> Column:
+        def piece(j: int, right: bool, i: int, d: int) -> Column:
+            at = (F.col("__n") - (i + 1) * size if right else i * size) + (d + 1)
+            h = F.xxhash64(base, F.lit(100 * j + 10 * right + i), F.substring("line", at, size))
+            return F.struct(h.alias("h"), at.alias("from"), size.alias("size"), F.lit(j).alias("k")) if whole else h
 
-    def cut(j: Column) -> Column:
-        right = (last - j) * size
-        return F.struct(F.xxhash64(size, last, j, F.substring(line, F.lit(1), j * size), F.substring(line, n - right + 1, right)).alias("h"), F.substring(line, j * size + 1, n - last * size).alias("middle"))
+        each = F.array(*[piece(edits, *x) for x in places(edits)])
+        for j in range(edits - 1, 0, -1):
+            each = F.when(k == j, F.array(*[piece(j, *x) for x in places(j)])).otherwise(each)
+        return each
 
-    return F.transform(F.sequence(F.lit(0), last), cut)
+    below = F.col("__base") - step
+    own = pieces(F.col("__base"), F.col("__k"), F.col("__size"))
+    also = F.when((F.col("__n") - F.col("__k_below") < F.col("__base")) & (below >= step), pieces(below, F.col("__k_below"), F.col("__size_below")))
+    none = F.array().cast("array<struct<h:bigint,from:int,size:int,k:int>>" if whole else "array<bigint>")
+    return F.concat(own, F.coalesce(also, none))
 
 
-def distinct_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, tx, line_no of the first occurrence of each distinct line, and the keys of its halves."""
-    keyed = lines(docs).select(F.struct("doc_id", "tx", "line_no").alias("at"), F.unhex(F.md5("line")).alias("print"), halves(F.col("line")).alias("halves"))
-    by = keyed.groupBy("print").agg(F.min("at").alias("at"), F.first("halves").alias("halves"))
-    return by.select("at", "halves")
+def distinct_lines(docs: DataFrame, edits: int) -> DataFrame:
+    """``at`` (doc_id, tx, line_no), length and keys of the first occurrence of each distinct line; short ones have no keys."""
+    keyed = measured(lines(docs), edits, STEP)
+    keyed = keyed.select(F.struct("doc_id", "tx", "line_no").alias("at"), F.unhex(F.md5("line")).alias("print"), F.col("__n").alias("n"), F.when(F.col("__n") >= MIN_CHARS, cut(edits, STEP)).alias("keys"))
+    by = keyed.groupBy("print").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    return by.select("at", "n", F.array_distinct("keys").alias("keys"))
 
 
-def neighbours(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """``at`` of the first occurrences that have an earlier line within one edit, and ``earlier``, that line's place."""
-    ends = first.select("at", F.explode("halves").alias("half"))
-    met = ends.withColumn("m", F.count(F.lit(1)).over(W.partitionBy("half"))).where("m > 1").select("at").distinct()
-    wanted = met.groupBy(F.col("at.doc_id").alias("d_"), F.col("at.tx").alias("x_")).agg(F.collect_list("at.line_no").alias("nos"))
+def met(keyed: DataFrame) -> DataFrame:
+    """at, n, h of those that share ``h`` with another, and ``m``, how many do."""
+    return keyed.withColumn("m", F.count(F.lit(1)).over(W.partitionBy("h"))).where("m > 1")
+
+
+def meetings(later: DataFrame, keyed: DataFrame, edits: int) -> DataFrame:
+    """at, earlier of the lines of ``later`` and ``keyed`` that share a key and whose lengths are within the bound."""
+    counts = [c for c in keyed.columns if c.startswith("has_")]
+    a = later.select("at", "n", "h", *counts)
+    b = keyed.select(F.col("at").alias("earlier"), F.col("n").alias("n_"), F.col("h").alias("h_"), *[F.col(c).alias(f"{c}_") for c in counts])
+    meet = (F.col("h") == F.col("h_")) & (F.col("earlier") < F.col("at")) & (F.abs(F.col("n") - F.col("n_")) <= edits)
+    if counts:
+        meet = meet & (sum((F.abs(F.col(c) - F.col(f"{c}_")) for c in counts), F.lit(0)) <= 2 * edits)
+    return a.join(b, meet).select("at", "earlier")
+
+
+def neighbours(docs: DataFrame, first: DataFrame, edits: int) -> DataFrame:
+    """``at`` of the first occurrences that have an earlier line within the bound, and ``earlier``, that line's place."""
+    ends = staged(met(first.select("at", "n", F.explode("keys").alias("h"))), "line-ends")
+    wanted = ends.select("at").distinct().groupBy(F.col("at.doc_id").alias("d_"), F.col("at.tx").alias("x_")).agg(F.collect_list("at.line_no").alias("nos"))
     text = empty_safe_text(docs)
     found = docs.select("doc_id", F.hash(text).alias("tx"), text.alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("tx") == F.col("x_"))).dropDuplicates(["doc_id", "tx"])
     each = found.withColumn("__l", F.split("text", "\n", -1)).select("doc_id", "tx", "__l", F.explode("nos").alias("line_no"))
     each = staged(each.select(F.struct("doc_id", "tx", "line_no").alias("at"), F.get("__l", F.col("line_no")).alias("line")), "line-candidates")
-    blocks = each.select("at", F.explode(F.array_distinct(F.concat(cuts(F.col("line"), F.length("line")), cuts(F.col("line"), F.length("line") + 1)))).alias("c")).select("at", "c.h", "c.middle")
-    blocks = blocks.withColumn("m", F.count(F.lit(1)).over(W.partitionBy("h"))).where("m > 1").drop("m")
-    n = F.length("middle")
-    without = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("i"), F.xxhash64("h", F.concat(F.substring("middle", F.lit(1), i - 1), F.substring("middle", i + 1, n))).alias("v")))
-    blocks = staged(blocks, "line-blocks")
-    gone = staged(blocks.select("at", F.explode(without).alias("w")).select("at", F.col("w.i").alias("i"), F.col("w.v").alias("v")), "line-variants")
-    whole = blocks.select("at", F.xxhash64("h", "middle").alias("v"))
-    # Substitutions: the same place is left out.
-    least = gone.groupBy("v", "i").agg(F.min("at").alias("earlier"), F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("v").alias("v_"), F.col("i").alias("i_"), "earlier")
-    changed = gone.join(least, (F.col("v") == F.col("v_")) & (F.col("i") == F.col("i_"))).where("earlier < at").select("at", "earlier")
-    # Insertions: the later one of the two lines goes.
-    full = whole.select(F.col("v").alias("v_"), F.col("at").alias("at_"))
-    longer = gone.join(full, F.col("v") == F.col("v_")).select(F.greatest("at", "at_").alias("at"), F.least("at", "at_").alias("earlier"))
-    pairs = changed.unionByName(longer).where("earlier < at").distinct()
     a = each.select(F.col("at").alias("a_"), F.col("line").alias("line_a"))
     b = each.select(F.col("at").alias("b_"), F.col("line").alias("line_b"))
-    near = pairs.join(a, F.col("at") == F.col("a_")).join(b, F.col("earlier") == F.col("b_"))
-    near = near.where(F.levenshtein("line_a", "line_b", 1) >= 0)
-    return near.groupBy("at").agg(F.min("earlier").alias("earlier"))
-
-
-def decisions(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    # Crowds: what is shared is taken out, and the rest is cut.
+    hot = ends.where(F.col("m") > CROWD).select("at", "n", "h").join(a, F.col("at") == F.col("a_"))
+    counts = [f"has_{c}" for c in LETTERS]
+    hot = hot.withColumns({f"has_{c}": F.length("line_a") - F.length(F.translate("line_a", c, "")) for c in LETTERS})
+    hot = measured(hot.select("at", "n", "h", *counts, F.col("line_a").alias("line")), edits, STEP)
+    hot = hot.select("at", "n", *counts, "line", F.explode(F.filter(cut(edits, STEP, whole=True), lambda x: x["h"] == F.col("h"))).alias("c"))
+    rest = F.concat(F.substring("line", F.lit(1), F.col("c.from") - 1), F.substring("line", F.col("c.from") + F.col("c.size"), F.col("n")))
+    hot = measured(hot.select("at", "n", *counts, "c", rest.alias("line")), edits, REST_STEP, F.col("c.k"))
+    hot = hot.select("at", "n", *counts, F.explode(F.array_distinct(F.transform(cut(edits, REST_STEP), lambda x: F.xxhash64(F.col("c.h"), x)))).alias("h")).dropDuplicates(["at", "h"])
+    hot = staged(met(hot), "line-crowds")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        near = pairs.distinct().join(a, F.col("at") == F.col("a_")).join(b, F.col("earlier") == F.col("b_"))
+        apart = F.levenshtein("line_a", "line_b", edits)
+        return near.where((apart >= 0) & (apart <= allowed(F.least(F.length("line_a"), F.length("line_b")), edits))).select("at", "earlier")
+
+    # One earlier line is enough: in crowds the earliest is tried first, and only lines that it leaves open meet the others.
+    crowd = hot.where(F.col("m") > CROWD)
+    least = crowd.groupBy(F.col("h").alias("h_")).agg(F.min("at").alias("earlier"))
+    by_first = crowd.join(least, (F.col("h") == F.col("h_")) & (F.col("earlier") < F.col("at"))).select("at", "earlier")
+    sure = staged(verified(by_first), "line-sure")
+    open_ = hot.join(sure.select(F.col("at").alias("s_")).distinct(), F.col("at") == F.col("s_"), "left_anti")
+    few = ends.where(F.col("m") <= CROWD)
+    pairs = meetings(few, few, edits).unionByName(meetings(open_, hot, edits))
+    return verified(pairs).unionByName(sure).groupBy("at").agg(F.min("earlier").alias("earlier"))
+
+
+def decisions(docs: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
     """First occurrences (at), and those of them that go (at, earlier)."""
-    first = staged(distinct_lines(docs), "line-first")
-    return first, staged(neighbours(docs, first), "line-near")
+    first = staged(distinct_lines(docs, edits), "line-first")
+    return first, staged(neighbours(docs, first, edits), "line-near")
 
 
-def counted(docs: DataFrame) -> DataFrame:
+def counted(docs: DataFrame, edits: int = 1) -> DataFrame:
     """doc_id, n_lines (all lines), n_compared, n_equal and n_near (lines that go) and n_kept of every row of ``docs``."""
     text = empty_safe_text(docs)
     split = F.split(text, "\n", -1)
-    base = docs.select("doc_id", F.hash(text).alias("tx"), F.size(split).cast("long").alias("n_lines"), F.size(F.filter(split, lambda x: F.length(x) >= MIN_CHARS)).cast("long").alias("n_compared"))
-    first, near = decisions(docs)
+    base = docs.select("doc_id", F.hash(text).alias("tx"), F.size(split).cast("long").alias("n_lines"), F.size(F.filter(split, filled)).cast("long").alias("n_compared"))
+    first, near = decisions(docs, edits)
     each = first.select("at", F.lit(1).alias("one"), F.lit(0).alias("near")).unionByName(near.select("at", F.lit(0).alias("one"), F.lit(1).alias("near")))
     by = each.groupBy(F.col("at.doc_id").alias("d_"), F.col("at.tx").alias("x_")).agg(F.sum("one").alias("firsts"), F.sum("near").alias("n_near"))
     out = base.join(by, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("tx") == F.col("x_")), "left")
@@ -123,13 +178,13 @@ def counted(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_compared", "n_equal", "n_near", (F.col("n_lines") - F.col("n_equal") - F.col("n_near")).alias("n_kept"))
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
+def cleaned(docs: DataFrame, edits: int = 1) -> DataFrame:
     """``docs`` with the lines that go taken out of the text; all other columns as they were. A null text stays null."""
-    first, near = decisions(docs)
+    first, near = decisions(docs, edits)
     kept = first.join(near.select(F.col("at").alias("n_")), F.col("at") == F.col("n_"), "left_anti")
     kept = kept.groupBy(F.col("at.doc_id").alias("__d"), F.col("at.tx").alias("__x")).agg(F.collect_list("at.line_no").alias("__nos"))
     keyed = docs.withColumn("__tx", F.hash(empty_safe_text(docs)))
     joined = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__tx") == F.col("__x")), "left")
     nos = F.coalesce("__nos", F.array().cast("array<int>"))
-    left = F.filter(F.split("text", "\n", -1), lambda x, i: (F.length(x) < MIN_CHARS) | F.array_contains(nos, i))
+    left = F.filter(F.split("text", "\n", -1), lambda x, i: ~filled(x) | F.array_contains(nos, i))
     return joined.withColumn("text", F.array_join(left, "\n")).select(*docs.columns)

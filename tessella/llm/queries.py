@@ -27,7 +27,7 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.counted(table(spark, sf_dir, "documents"))
+    return line_dedup.counted(table(spark, sf_dir, "documents"), line_dedup.MOST_EDITS)
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,6 +106,33 @@ def lines(rows, least=32):
     return out
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def lines_within(rows, edits=4, least=32):
+    """doc_id: (equal, near) over (doc_id, text) in order; the bound grows with the shorter line."""
+    seen, out = [], {}
+    for i, t in rows:
+        equal = near = 0
+        for x in (t or "").split("\n"):
+            if not SPACED.search(x):
+                continue
+            if x in seen:
+                equal += 1
+                continue
+            allowed = lambda y: min(edits, sum(min(len(x), len(y)) >= n for n in (0, 64, 128, 256)))  # noqa: E731, B023
+            near += len(x) >= least and any(len(y) >= least and abs(len(x) - len(y)) <= allowed(y) and edit_distance(x, y) <= allowed(y) for y in seen)
+            seen.append(x)
+        out[i] = (equal, near)
+    return out
+
+
 def targets(sizes, weights=(5, 2, 1), most=3):
     """source: target, over source: size; None is last."""
     order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])

@@ -1,6 +1,7 @@
 """Each operator against its plain version, over a table with nulls, ties, copies, long texts and clashing columns."""
 
 import html as entities
+import random
 from collections import Counter, defaultdict
 
 import brute
@@ -181,6 +182,30 @@ def test_line_dedup(spark, docs):
     assert rest == 0
 
 
+@pytest.mark.parametrize("crowd", [16, 2])
+def test_line_dedup_of_short_lines_and_of_several_edits(spark, crowd, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CROWD", crowd)
+    r = random.Random(3)
+    prose = lambda n: "".join(r.choice("abcdé ") for _ in range(n))
+
+    def edited(line, k):
+        for _ in range(k):
+            at, kind = r.randrange(len(line)), r.randrange(3)
+            line = line[:at] + ("", "#", "#" + line[at])[kind] + line[at + 1 :]
+        return line
+
+    bases = [prose(n) for n in (33, 60, 65, 127, 130, 255, 258, 290)]
+    bases += [bases[7][:60] + prose(200) for _ in range(3)]
+    texts = ["All rights reserved.\n\n \nAll rights reserved.", "All rights reserved.\nx", "x\nX", *bases]
+    texts += [edited(b, k) for b in bases for k in (1, 2, 3, 4, 5, 4)]
+    rows = list(enumerate(texts))
+    got = {x["doc_id"]: (x["n_equal"], x["n_near"]) for x in line_dedup.counted(frame(spark, rows), 4).collect()}
+    wanted = brute.lines_within(rows)
+    assert got == wanted and sum(e for e, _ in wanted.values()) == 3 and sum(n for _, n in wanted.values()) > 30
+    cleaned = {x["doc_id"]: x["text"] for x in line_dedup.cleaned(frame(spark, rows), 4).collect()}
+    assert cleaned[0] == "All rights reserved.\n\n " and cleaned[1] == "x" and cleaned[2] == "X"
+
+
 def test_licenses(spark):
     known = {"MIT": "Released under the MIT License.", "GPL": "This work is licensed under the GNU General Public License, version 3.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "CC-BY-NC": "Licensed under CC BY-NC 4.0."}
     rows = [(i, f"some prose here\n{t}\nand more") for i, t in enumerate(known.values())]
