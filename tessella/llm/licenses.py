@@ -1,6 +1,8 @@
 """License scans: a trained classifier of paragraphs, confirmed by comparison with templates.
 
-A paragraph is a line of a text. Sparse word 1- and 2-grams feed a multinomial logistic regression over
+A paragraph is a run of lines up to a blank one, without comment marks: notices are wrapped. Each line is judged
+by itself first, since lists of licences have one a line; where no line of a paragraph is confirmed, the lines
+joined are judged, and if they are confirmed they count as one licence line in place of their own. Sparse word 1- and 2-grams feed a multinomial logistic regression over
 licence families and "none"; it is trained here, on the driver, from the templates below and their
 alterations. A temperature and a threshold are set on alterations held out: a paragraph whose best family is
 below the threshold is of class "unknown". A family is confirmed if the paragraph holds at least CONFIRM of
@@ -22,33 +24,34 @@ from functools import cache
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .tables import empty_safe_text, staged
 
 #: Usual wordings of licence notices, by family.
 TEMPLATES = {
-    "MIT": (
+    "MIT": ("SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", 
         "Released under the MIT License.",
         "Licensed under the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
     ),
-    "Apache-2.0": (
+    "Apache-2.0": ("SPDX-License-Identifier: Apache-2.0", 
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License.",
     ),
-    "GPL": (
+    "GPL": ("SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-2.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", 
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         "Licensed under the GPL version 2 or later.",
     ),
-    "LGPL": ("Licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License."),
-    "AGPL": ("Licensed under the GNU Affero General Public License, version 3.",),
-    "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Released under the BSD 3-Clause License."),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0."),
-    "CC-BY": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-SA": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "CC-BY-NC": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC0": ("Released into the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
+    "LGPL": ("SPDX-License-Identifier: LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "Licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License."),
+    "AGPL": ("SPDX-License-Identifier: AGPL-3.0-only", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "Licensed under the GNU Affero General Public License, version 3.",),
+    "BSD": ("SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Released under the BSD 3-Clause License."),
+    "MPL-2.0": ("SPDX-License-Identifier: MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0."),
+    "CC-BY": ("SPDX-License-Identifier: CC-BY-4.0", "Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    "CC-BY-SA": ("SPDX-License-Identifier: CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    "CC-BY-NC": ("SPDX-License-Identifier: CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "CC0": ("SPDX-License-Identifier: CC0-1.0", "Released into the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     "proprietary": ("Copyright. All rights reserved.", "All rights reserved. No part of this publication may be reproduced without written permission of the publisher."),
 }
 #: Sentences with words of the lexicon that grant no licence.
@@ -75,8 +78,10 @@ OTHERS = (
     "Source and binary stars were observed in two forms.",
 )
 #: Words that are common in any text and make no paragraph worth a look.
-COMMON = frozenset("a an and any all are as at be been by can for free from has have in into is it later may no not of on or part person that the this to under use was with work without you version following file files forms form met published publication public general general related rights terms code source copy charge deal except extent foundation author international conditions provided related program library written possible law obtaining associated documentation binary v s".split())
+COMMON = frozenset("a an and any all are as at be been by can for free from has have in into is it later may no not of on or part person that the this to under use was with work without you version following file files forms form met published publication public general general related rights terms code source copy charge deal except extent foundation author international conditions provided related program library written possible law obtaining associated documentation binary v s only identifier including limitation copy modify merge publish distribute sell copies permit persons whom furnished do so subject either your option".split())
 CONFIRM = 0.6
+#: What a line of a comment starts and ends with.
+MARKS = r"(?m)^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|--+|;+|%+|<!--)?[ \t]*|[ \t]*(?:\*+/|-->)?[ \t\r]*$"
 #: Alterations of each template and each other sentence; and the share of them that is held out.
 ALTERED, HELD_OUT = 24, 0.3
 FALSE_ALARMS = 0.005
@@ -176,19 +181,30 @@ def interesting(line: Column) -> Column:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, tx, line_no, line, family, probability of each line that the model calls a licence or unknown."""
+    """doc_id, tx, par_no, line_no, line, family, probability of what the model calls a licence or unknown.
+
+    line_no counts from 0 in its paragraph; -1 is the paragraph as a whole, which stands for its lines.
+    """
     text = empty_safe_text(docs)
-    split = F.transform(F.split(text, "\n", -1), lambda x, i: F.when(interesting(x), F.struct(i.alias("line_no"), x.alias("line"))))
-    found = staged(docs.select("doc_id", F.hash(text).alias("tx"), F.explode(F.filter(split, lambda x: x.isNotNull())).alias("l")).select("doc_id", "tx", "l.line_no", "l.line"), "license-found")
+    pars = F.transform(F.split(F.regexp_replace(text, MARKS, ""), "\n\n+", -1), lambda x, i: F.when(interesting(x), F.struct(i.alias("par_no"), x.alias("par"))))
+    pars = docs.select("doc_id", F.hash(text).alias("tx"), F.explode(F.filter(pars, lambda x: x.isNotNull())).alias("p")).select("doc_id", "tx", "p.par_no", "p.par")
+    split = F.split("par", "\n", -1)
+    each = F.filter(F.transform(split, lambda x, i: F.struct(i.alias("line_no"), x.alias("line"))), lambda x: interesting(x["line"]))
+    joined = F.when(F.size(split) > 1, F.array(F.struct(F.lit(-1).alias("line_no"), F.array_join(split, " ").alias("line")))).otherwise(F.slice(each, 1, 0))
+    found = staged(pars.select("doc_id", "tx", "par_no", F.explode(F.concat(each, joined)).alias("l")).select("doc_id", "tx", "par_no", "l.line_no", "l.line").dropDuplicates(["doc_id", "tx", "par_no", "line_no"]), "license-found")
     known = staged(classified(found).where(F.col("family") != NONE), "license-known").withColumnRenamed("line", "l_")
-    return found.join(known, F.col("line") == F.col("l_")).drop("l_")
+    judged = found.join(known, F.col("line") == F.col("l_")).drop("l_")
+    sure, whole = F.col("family") != UNKNOWN, F.col("line_no") < 0
+    par = W.partitionBy("doc_id", "tx", "par_no")
+    judged = judged.withColumns({"by_line": F.count_if(sure & ~whole).over(par), "by_par": F.count_if(sure & whole).over(par)})
+    return judged.where(F.when((F.col("by_line") == 0) & (F.col("by_par") > 0), whole).otherwise(~whole)).drop("by_line", "by_par")
 
 
 def by_document(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines (lines with a word), n_licence, n_unknown and families (sorted, comma-joined) of every row."""
     text = empty_safe_text(docs)
     base = docs.select("doc_id", F.hash(text).alias("tx"), F.size(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_lines"))
-    found = scanned(docs).dropDuplicates(["doc_id", "tx", "line_no"])
+    found = scanned(docs)
     by = found.groupBy(F.col("doc_id").alias("d_"), F.col("tx").alias("x_")).agg(
         F.count_if(F.col("family") != UNKNOWN).alias("n_licence"), F.count_if(F.col("family") == UNKNOWN).alias("n_unknown"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("family") != UNKNOWN, F.col("family")))), ",").alias("families")
     )

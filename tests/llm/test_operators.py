@@ -2,6 +2,7 @@
 
 import html as entities
 import random
+import textwrap
 from collections import Counter, defaultdict
 
 import brute
@@ -215,6 +216,17 @@ def test_licenses(spark):
     assert [got[i]["families"] for i in (10, 11, 12)] == ["", "", ""] and got[13]["families"] == "GPL,MIT" and got[13]["n_licence"] == 2
 
 
+def test_licenses_of_wrapped_notices_and_identifiers(spark):
+    wrap = lambda t, mark: "\n".join(mark + x for x in textwrap.wrap(t, 76))
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    lgpl = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    rows = [(1, "/*\n" + wrap(mit, " * ") + "\n */\nint main;"), (2, wrap(gpl, "# ") + "\n#\n# More"), (3, wrap(lgpl, "")), (4, "Title\n\n" + wrap(bsd, "// ")), (5, "// SPDX-License-Identifier: MIT\ncode"), (6, wrap(gpl, "# ") + "\n#\n" + wrap(mit, "# "))]
+    got = {r["doc_id"]: (r["families"], r["n_licence"]) for r in licenses.by_document(frame(spark, rows)).collect()}
+    assert got == {1: ("MIT", 1), 2: ("GPL", 1), 3: ("LGPL", 1), 4: ("BSD", 1), 5: ("MIT", 1), 6: ("GPL,MIT", 2)}
+
+
 def test_license_model_holds_out():
     m = licenses.model()
     assert m["accuracy"] > 0.93 and 0.5 <= m["threshold"] < 1
