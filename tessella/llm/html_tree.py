@@ -31,9 +31,9 @@ from .tables import small_batches, staged
 
 DAMP = 0.9
 LOW = 0.1
-#: A host with fewer pages has no tree, and a block that fewer than SHARE of the pages hold is never low.
+#: A host with fewer pages has no tree. On others entropy alone decides; a block of low importance is in more than
+#: ``pages ** (1 - LOW)`` pages, so a host has at most ``pages ** LOW`` times as many as a page has blocks.
 MIN_PAGES = 8
-SHARE = 0.5
 
 #: Elements that start a block of text, and those that never hold main text.
 BLOCKS = frozenset(
@@ -209,10 +209,10 @@ def low_nodes(pages: DataFrame) -> DataFrame:
     m = F.greatest(F.col("pages"), F.lit(2)).cast("double")
     share = F.col("n") / m
     features = features.withColumn("imp", F.when(F.col("kind") == 1, 1 - F.log(F.least(F.col("n").cast("double"), m)) / F.log(m)).otherwise(-share * F.log(share) / F.log(m)))
-    nodes = features.groupBy("h", "path").agg(F.sum(F.when(F.col("kind") == 0, F.col("imp"))).alias("layout"), F.avg(F.when(F.col("kind") == 1, F.col("imp"))).alias("content"), F.max("n").alias("most"), F.max("pages").alias("pages"))
+    nodes = features.groupBy("h", "path").agg(F.sum(F.when(F.col("kind") == 0, F.col("imp"))).alias("layout"), F.avg(F.when(F.col("kind") == 1, F.col("imp"))).alias("content"))
     low = (1 - DAMP) * F.coalesce("layout", F.lit(0.0)) + DAMP * F.col("content") < LOW
-    paths = nodes.where(low & (F.col("most") >= SHARE * F.col("pages"))).select("h", F.col("path").alias("node"), F.lit(None).cast("bigint").alias("block"))
-    blocks = features.where((F.col("kind") == 1) & (F.col("imp") < LOW) & (F.col("n") >= SHARE * F.col("pages"))).select("h", F.lit(None).cast("bigint").alias("node"), F.xxhash64("path", "feature").alias("block"), "path", "feature")
+    paths = nodes.where(low).select("h", F.col("path").alias("node"), F.lit(None).cast("bigint").alias("block"))
+    blocks = features.where((F.col("kind") == 1) & (F.col("imp") < LOW)).select("h", F.lit(None).cast("bigint").alias("node"), F.xxhash64("path", "feature").alias("block"), "path", "feature")
     marks = paths.select("h", "node", F.lit(None).cast("bigint").alias("path"), F.lit(None).cast("bigint").alias("feature")).unionByName(blocks.select("h", "node", "path", "feature"))
     return marks.groupBy("h").agg(F.collect_list("node").alias("paths"), F.collect_list(F.when(F.col("path").isNotNull(), F.struct("path", "feature"))).alias("blocks"))
 

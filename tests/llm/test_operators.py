@@ -289,6 +289,15 @@ def test_style_tree_cuts_what_a_host_repeats(spark):
     assert entities.unescape("&eacute;") == "é"
 
 
+def test_entropy_alone_decides_on_a_large_host(spark):
+    # 960 of 2,000 pages hold the notice: importance 1 - ln(960) / ln(2000) = 0.097.
+    rows = [(i, f"https://large.org/{i}", f"<body><div><p>Story {i}.</p>{'<p>A rotating notice.</p>' if i < 960 else ''}</div></body>") for i in range(2000)]
+    rows += [(3000 + i, f"https://small.org/{i}", f"<body><div><p>Story {i}.</p><p>On all pages.</p></div></body>") for i in range(7)]
+    got = {r["page_id"]: r["text"] for r in html_tree.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i}." for i in range(2000))
+    assert all(got[3000 + i] == f"Story {i}.\nOn all pages." for i in range(7))
+
+
 def test_empty_tables(spark, empty):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     bench = spark.createDataFrame([], "item_id long, text string")
