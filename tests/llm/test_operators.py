@@ -6,6 +6,7 @@ import textwrap
 from collections import Counter, defaultdict
 
 import brute
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -298,6 +299,26 @@ def test_entropy_alone_decides_on_a_large_host(spark):
     assert all(got[3000 + i] == f"Story {i}.\nOn all pages." for i in range(7))
 
 
+def test_pipeline_runs_its_stages_in_order(spark, tmp_path):
+    items = [(1, " ".join(f"bench{k}" for k in range(15)))]
+    prose = lambda i: " ".join(f"w{i}x{k}" for k in range(30 + i % 5))
+    rows = [(i, prose(i)) for i in range(40)] + [(40 + i, prose(i)) for i in range(8)]
+    rows += [(60, items[0][1] + " " + prose(60)), (61, "too short"), (62, None), (63, prose(63) + " tail"), (64, prose(63))]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    good = [(i, t) for i, t in rows if not brute.measures(t)[-1]]
+    assert {i for i, _ in rows} - {i for i, _ in good} == {61, 62}
+    one = [(i, t) for i, t in good if brute.groups(good)[i] == i]
+    clean = [r for r, c in zip(one, brute.contaminated([t for _, t in one], items), strict=True) if not c[-1]]
+    assert [i for i, _ in clean] == [*range(40), 63]
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert set(got.columns) == {"doc_id", "size", "text_crc32", "shard", "slot"}
+    taken = Counter(r["doc_id"] for r in got.collect())
+    # What the mix takes is decided by the rows that come out of the stages before it.
+    wanted = {r["doc_id"]: r["copies"] for r in mixing.copies(frame(spark, clean)).collect() if r["copies"]}
+    assert taken == wanted
+
+
 def test_empty_tables(spark, empty):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     bench = spark.createDataFrame([], "item_id long, text string")
