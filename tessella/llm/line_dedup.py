@@ -107,8 +107,9 @@ def distinct_lines(docs: DataFrame, edits: int) -> DataFrame:
 
 
 def met(keyed: DataFrame) -> DataFrame:
-    """at, n, h of those that share ``h`` with another, and ``m``, how many do."""
-    return keyed.withColumn("m", F.count(F.lit(1)).over(W.partitionBy("h"))).where("m > 1")
+    """``keyed`` of those that share ``h`` with another, ``m``, how many do, and ``least``, the first of them."""
+    group = W.partitionBy("h")
+    return keyed.withColumns({"m": F.count(F.lit(1)).over(group), "least": F.min("at").over(group)}).where("m > 1")
 
 
 def meetings(later: DataFrame, keyed: DataFrame, edits: int) -> DataFrame:
@@ -124,7 +125,7 @@ def meetings(later: DataFrame, keyed: DataFrame, edits: int) -> DataFrame:
 
 def neighbours(docs: DataFrame, first: DataFrame, edits: int) -> DataFrame:
     """``at`` of the first occurrences that have an earlier line within the bound, and ``earlier``, that line's place."""
-    ends = staged(met(first.select("at", "n", F.explode("keys").alias("h"))), "line-ends")
+    ends = staged(met(first.select("at", "n", F.explode("keys").alias("h"))).drop("least"), "line-ends")
     wanted = ends.select("at").distinct().groupBy(F.col("at.doc_id").alias("d_"), F.col("at.tx").alias("x_")).agg(F.collect_list("at.line_no").alias("nos"))
     text = empty_safe_text(docs)
     found = docs.select("doc_id", F.hash(text).alias("tx"), text.alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("tx") == F.col("x_"))).dropDuplicates(["doc_id", "tx"])
@@ -149,9 +150,7 @@ def neighbours(docs: DataFrame, first: DataFrame, edits: int) -> DataFrame:
         return near.where((apart >= 0) & (apart <= allowed(F.least(F.length("line_a"), F.length("line_b")), edits))).select("at", "earlier")
 
     # One earlier line is enough: in crowds the earliest is tried first, and only lines that it leaves open meet the others.
-    crowd = hot.where(F.col("m") > CROWD)
-    least = crowd.groupBy(F.col("h").alias("h_")).agg(F.min("at").alias("earlier"))
-    by_first = crowd.join(least, (F.col("h") == F.col("h_")) & (F.col("earlier") < F.col("at"))).select("at", "earlier")
+    by_first = hot.where((F.col("m") > CROWD) & (F.col("least") < F.col("at"))).select("at", F.col("least").alias("earlier"))
     sure = staged(verified(by_first), "line-sure")
     open_ = hot.join(sure.select(F.col("at").alias("s_")).distinct(), F.col("at") == F.col("s_"), "left_anti")
     few = ends.where(F.col("m") <= CROWD)
