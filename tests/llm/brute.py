@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small inputs."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -168,3 +169,75 @@ def corpus(seed=7):
     line = prose(12)
     out += [f"{line}\n{line}\n{line[:-1]}", line + "x\n" + prose(10), "a | b # c $ % & * < > " * 9]
     return out
+
+
+def main_texts(pages, read, names=True):
+    """id: (text, blocks cut, blocks that the tree cuts) over (id, host, html), with a plain style tree. read: html to a Page."""
+    every = {i: (h, read(s or "")) for i, h, s in pages}
+
+    def trees(host_of):
+        held, looks, blocks = defaultdict(set), defaultdict(Counter), defaultdict(set)
+        for i, (h, p) in every.items():
+            if h is None:
+                continue
+            h = host_of(h)
+            for path, *_ in p.nodes[1:]:
+                held[h, path].add(i)
+            for (k, look), c in p.layouts.items():
+                looks[h, p.nodes[k][0]][look] += c
+            for k, text in p.blocks:
+                blocks[h, p.nodes[k][0], text].add(i)
+        worth = defaultdict(dict)
+        for (h, path, text), found in blocks.items():
+            worth[h, path][text] = 1 - math.log(len(found)) / math.log(max(2, len(held[h, path]))) if path else 1
+        below = defaultdict(set)
+        for h, p in every.values():
+            if h is not None:
+                for k in {k for k, _ in p.blocks}:
+                    for a in p.above(k):
+                        below[host_of(h), a].add(p.nodes[k][0])
+        out = {}
+        for (h, path), found in held.items():
+            inside = [w for q in below[h, path] for w in worth[h, q].values()]
+            if inside:
+                c, total = looks[h, path], sum(looks[h, path].values())
+                look = None if not total else 1 if total == 1 else -sum(n / total * math.log(n / total) for n in c.values()) / math.log(total)
+                mean = sum(inside) / len(inside)
+                out[h, path] = (len(found), mean if look is None else 0.1 * look + 0.9 * mean)
+        return out, held, blocks
+
+    own, held, blocks = trees(lambda h: h)
+    usual, _, _ = trees(lambda h: "")
+    share = defaultdict(float)
+    for h, p in every.values():
+        for (path, *_), size in zip(p.nodes, p.sizes(), strict=True):
+            share[h, path] += size / max(1, p.sizes()[0])
+    out = {}
+    for i, (h, p) in every.items():
+        known, sizes = {}, p.sizes()
+        for path, _, told, _ in p.nodes[1:]:
+            if (h, path) in own:
+                m, t = own[h, path]
+                n, u = usual["", path]
+                w = (m * t + 50 * (n * u + 8) / (n + 8)) / (m + 50)
+                spared = told >= 2 and w >= 0.9 and m >= 8 and share[h, path] >= m / 2
+                known[path] = "spared" if spared else "least" if w < 0.1 else "low" if w < 0.7 else None
+        cut = []
+        total = sizes[0] - sum(sizes[k] for k, x in enumerate(p.nodes) if x[2] == 3 and p.nodes[x[1]][2] != 3)
+        for path, up, told, holds in p.nodes:
+            said = known.get(path)
+            name = told >= 2 and said != "spared" and (told == 3 or not (holds or 10 * sizes[len(cut)] >= 9 * max(total, 1)))
+            tree = (said == "least" or said == "low" and told != 1) and not holds
+            cut.append((name or cut[up][0], tree or cut[up][1]) if cut else (False, False))
+        left = [x for x in p.blocks if not (names and cut[x[0]][0])]
+        kept = [x for x in left if not cut[x[0]][1]]
+
+        def stale(node, text, p=p, h=h):
+            n, m = len(blocks[h, p.nodes[node][0], text]), len(held[h, p.nodes[node][0]])
+            return p.nodes[node][2] != 1 and n > 36 and (m * (1 - math.log(n) / math.log(m)) + 4) / (m + 4) < 0.1
+
+        if h is not None:
+            kept = [x for x in kept if not stale(*x)] or kept
+        kept = kept or left
+        out[i] = ("\n".join(t for _, t in kept), len(p.blocks) - len(kept), sum(cut[k][1] for k, _ in p.blocks))
+    return out

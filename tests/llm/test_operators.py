@@ -3,6 +3,7 @@
 import html as entities
 import random
 import textwrap
+import tracemalloc
 from collections import Counter, defaultdict
 
 import brute
@@ -262,6 +263,12 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script
 <form><input value=x>Mail</form><div id="comments"><p>First!</p></div><div class='cookie-notice'>We use</div><footer>&copy; us</footer></body></html>"""
 
 
+def alone(source):
+    """The text of a page whose host has no tree."""
+    page = html_tree.Page(source)
+    return "\n".join(html_tree.main_blocks(page.nodes, page.blocks, page.sizes(), {}, set()))
+
+
 @pytest.mark.parametrize(
     ("body", "wanted"),
     [
@@ -270,15 +277,42 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script
         ("<div><p>No article", "No article"),
         ("<article><header><h1>H</h1></header><p>a < b and c > d</p></article>", "H\na < b and c > d"),
         ("<article>" + "<div>" * 300 + "deep" + "</div>" * 300 + "</article>", "deep"),
+        ('<div class="layout has-sidebar"><article><p>Main story text</p></article></div>', "Main story text"),
+        ('<article class="post no-comments"><p id="page-social-policy">x</p><p class="share-price">Shares rose</p></article>', "x\nShares rose"),
+        ("<div><h1>Real</h1><p>Long main text here</p></div><article><a>Related teaser</a></article>", "Real\nLong main text here\nRelated teaser"),
+        ("<div class='content social'><p>a</p><article class='comment'><p>I agree</p></article></div>", "a"),
     ],
 )
 def test_main_text_of_a_page(body, wanted):
-    assert "\n".join(t for _, t in html_tree.Page(PAGE.format(body=body)).main_blocks()) == wanted
+    assert alone(PAGE.format(body=body)) == wanted
 
 
 def test_main_text_of_a_page_that_is_cut_off():
     for cut in ("<b", "<!-- no", "<a href='x", "<script>var x"):
-        assert html_tree.Page(f"<body><article><p>cut off {cut}").main_blocks()[0][1] == "cut off"
+        assert alone(f"<body><article><p>cut off {cut}") == "cut off"
+
+
+def test_deep_pages_take_memory_in_proportion():
+    tracemalloc.start()
+    assert alone("<div>" * 50_000 + "x" + "</div>" * 20_000 + "<p>y") == "x\ny"
+    assert tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()
+
+
+def test_style_tree_against_a_plain_one(spark):
+    r = random.Random(1)
+    adverts = [f"Buy {k} now" for k in range(4)]
+    rows = [(None, "", None), (None, "https://a.org/", "<p>no id</p>"), (1, None, "<nav>x</nav>alone")]
+    for i in range(2, 260):
+        body = "".join(f"<p>{i} {k} {r.random()}</p>" for k in range(r.randint(1, 4)))
+        side = f"<div class=box{i}><p>{r.choice(adverts)}</p></div><aside><p>{'Menu' if i % 3 else body}</p></aside>"
+        rows.append((i, f"https://{'abc'[min(2, i % 7)]}.org/{i}", f"<body>{side}<div><div>{body}<p>Follow us</p></div></div><div class=note>Terms {i % 2}</div><footer>f{i}</footer></body>"))
+    rows += rows[3:5]
+    docs = spark.createDataFrame([(*x, 1, "p", 2) for x in rows], "page_id long, url string, html string, path long, host string, nodes int")
+    got = Counter((x["page_id"], x["text"]) for x in html_tree.main_text(docs).collect())
+    plain = brute.main_texts([(k, u.split("/")[2] if u else None, h) for k, (_, u, h) in enumerate(rows)], html_tree.Page)
+    assert got == Counter((rows[k][0], t) for k, (t, _, _) in plain.items())
+    assert sum(x[2] for x in plain.values()) > 200 and all("Buy" not in plain[k][0] and "Terms" not in plain[k][0] for k in plain)
 
 
 def test_style_tree_cuts_what_a_host_repeats(spark):
