@@ -4,17 +4,22 @@ Suffixes of the whole corpus are dealt to buckets that can be sorted side by sid
 GRAM bytes of least hash, so equal strings have equal anchors at equal places. Consecutive starts with one
 anchor form a run.
 
-1. Runs are counted by anchor and content. An anchor that occurs once has no repeated string; if all runs of
-   an anchor are equal, all their strings are repeated. Neither needs any text.
-2. One run of each remaining content is cut into pieces of PIECE starts at fixed places from the anchor. The
-   bytes that all strings of a piece share (its core) are the bucket. A bucket of one piece has no repeat.
-3. The pieces of a bucket are sorted as suffixes in two stages: those smaller than their successor directly,
-   the rest induced by scanning the buckets of their first bytes; neighbours whose common prefix is LENGTH
-   or more are repeated. A bucket of more than CROWD pieces, as at the edge of a passage that very many
-   documents share, is not gathered: its strings are counted by a 128-bit print instead.
-
-Rows: null counts as the empty text; texts under LENGTH bytes keep everything. Rows that share a doc_id are
-told apart by their texts.
+1. Texts are named by a 128-bit print. Equal texts are read once or twice by each task, as a third copy says
+   nothing new. An anchor that occurs once has no repeated string and is dropped.
+2. One run of each remaining content is cut into pieces of PIECE starts at fixed places from the anchor; a run
+   that occurs more than once is a twin of itself. The bytes that all strings of a piece share (its core) are the
+   bucket. A bucket of one piece without a twin has no repeat.
+3. All other pieces, twins twice, are sorted as suffixes in two stages: those smaller than their successor directly,
+   the rest induced by scanning the buckets of their first bytes; neighbours whose common prefix is LENGTH or
+   more are repeated. Nothing else marks a string.
+4. A bucket of more than FIT pieces, as at the edge of a passage that very many documents share, is split by the
+   bytes around its core: its pieces are cut into smaller ones, whose cores are longer, until buckets fit. A
+   piece of one start has the whole string as its core, so the last buckets hold one piece and its twin.
+
+Rows: null counts as the empty text; texts under LENGTH bytes, the empty one among them, keep everything. Rows that
+share a doc_id, or have none, are told apart by their texts; rows that repeat get the same result each. Very long
+texts are read in overlapping parts. Other columns of the input, whatever their names, are ignored. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -34,9 +39,10 @@ from .words import _VALUES as VALUES
 LENGTH = 200
 GRAM = 32
 PLACES = LENGTH - GRAM + 1
+#: Starts of a piece, at first and when a bucket of more than FIT pieces has to be split.
 PIECE = 57
-CORE = LENGTH - PIECE + 1
-CROWD = 2000
+SPLITS = (8, 1)
+FIT = 2000
 #: Bytes of pieces that are sorted at once.
 PACK = 1 << 20
 _PLACE_BITS = 22
@@ -104,13 +110,28 @@ def blocks(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         k = to
 
 
-def all_runs(docs: DataFrame) -> DataFrame:
-    """doc_id, tx, h, rh, start, n, off, m: m equal runs of n starts that follow each other count as one row."""
+def named(docs: DataFrame) -> DataFrame:
+    """text, and name, a 128-bit print of it, of every row."""
+    text = empty_safe_text(docs)
+    return docs.select(text.alias("text"), F.unhex(F.md5(text)).alias("name"))
+
+
+def all_runs(texts: DataFrame) -> DataFrame:
+    """name, h, rh, start, n, off, m: m equal runs of n starts that follow each other count as one row.
+
+    A task gives a text's runs at its first and at its second sight only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
         for batch in batches:
-            ids, tx = batch.column("doc_id"), batch.column("tx")
-            for buf, last, first, numbers in blocks(as_bytes(batch.column("text"))):
+            fresh = []
+            for k, name in enumerate(batch.column("name").to_pylist()):
+                seen[name] = seen.get(name, 0) + 1
+                if seen[name] <= 2:
+                    fresh.append(k)
+            names = batch.column("name").take(pa.array(fresh, pa.int64()))
+            for buf, last, first, numbers in blocks(as_bytes(batch.column("text").take(pa.array(fresh, pa.int64())))):
                 h, rh, a, n, off = runs(buf, last)
                 if not len(a):
                     continue
@@ -118,39 +139,67 @@ def all_runs(docs: DataFrame) -> DataFrame:
                 same = np.concatenate(([False], (h[1:] == h[:-1]) & (rh[1:] == rh[:-1]) & (n[1:] == n[:-1]) & (row[1:] == row[:-1])))
                 lead = np.flatnonzero(~same)
                 m = np.diff(np.concatenate((lead, [len(a)])))
-                take = pa.array(numbers[row[lead]])
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(take), tx.take(take), pa.array(h[lead].view(np.int64)), pa.array(rh[lead].view(np.int64)), pa.array((a - first[row])[lead].astype(np.int32)), pa.array(n[lead].astype(np.int16)), pa.array(off[lead].astype(np.int16)), pa.array(m.astype(np.int32))],
-                    names=["doc_id", "tx", "h", "rh", "start", "n", "off", "m"],
-                )
+                columns = [pa.array(h[lead].view(np.int64)), pa.array(rh[lead].view(np.int64)), pa.array((a - first[row])[lead].astype(np.int32)), pa.array(n[lead].astype(np.int16)), pa.array(off[lead].astype(np.int16)), pa.array(m.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(numbers[row[lead]])), *columns], names=["name", "h", "rh", "start", "n", "off", "m"])
+
+    return texts.select("name", "text").mapInArrow(run, "name binary, h bigint, rh bigint, start int, n smallint, off smallint, m int")
+
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "tx", "text").mapInArrow(run, f"doc_id {kind}, tx int, h bigint, rh bigint, start int, n smallint, off smallint, m int")
+def print_of(data: bytes, place: int) -> bytes:
+    return hashlib.blake2b(data + bytes([place]), digest_size=16).digest()
+
+
+def parts(data: bytes, o0: int, o1: int, size: int) -> Iterator[tuple[bytes, bytes, int, int, bytes]]:
+    """core, print, o0, o1 and bytes of the pieces of ``size`` starts in ``data``.
+
+    The strings in it start o1, o1 - 1, ... o0 bytes before their anchor. Where a piece ends depends on these places
+    only, so equal strings fall into pieces with equal cores.
+    """
+    for j in range(o0 // size, o1 // size + 1):
+        a, b = max(o0, j * size), min(o1, j * size + size - 1)
+        core_at = o1 - j * size
+        core = data[core_at : core_at + LENGTH - size + 1]
+        piece = data[o1 - b : o1 - a + LENGTH]
+        yield print_of(core, j), print_of(piece, a), a, b, piece
 
 
 def cut_pieces(reps: DataFrame) -> DataFrame:
-    """Rows of ``reps`` (text, and runs as h, rh, start, n, off) as pieces: h, rh, j, core, print, o0, o1, bytes."""
+    """Rows of ``reps`` (text, and runs as h, rh, start, n, off, twin) as pieces: h, rh, core, print, o0, o1, twin, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
             for text, each in zip(as_bytes(batch.column("text")), batch.column("runs").to_pylist(), strict=True):
                 for r in each:
-                    p = r["start"] + r["off"]
-                    to = r["off"]  # places of the anchor, from the last start's to the first's
-                    at = to - r["n"] + 1
-                    for j in range(at // PIECE, to // PIECE + 1):
-                        o0, o1 = max(at, j * PIECE), min(to, j * PIECE + PIECE - 1)
-                        core = text[p - j * PIECE : p - j * PIECE + CORE]
-                        data = text[p - o1 : p - o0 + LENGTH]
-                        row = (r["h"], r["rh"], j, hashlib.blake2b(core + bytes([j]), digest_size=16).digest(), hashlib.blake2b(data + bytes([o0]), digest_size=16).digest(), o0, o1, data)
-                        for c, v in zip(out, row, strict=True):
+                    if r is None:
+                        continue
+                    at, to = r["start"], r["off"]  # the first start, and its anchor's place
+                    data = text[at : at + r["n"] - 1 + LENGTH]
+                    for core, print_, o0, o1, piece in parts(data, to - r["n"] + 1, to, PIECE):
+                        for c, v in zip(out, (r["h"], r["rh"], core, print_, o0, o1, r["twin"], piece), strict=True):
                             c.append(v)
             if out[0]:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["h", "rh", "j", "core", "print", "o0", "o1", "bytes"])
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["h", "rh", "core", "print", "o0", "o1", "twin", "bytes"])
 
-    return reps.select("text", "runs").mapInArrow(run, "h bigint, rh bigint, j int, core binary, print binary, o0 int, o1 int, bytes binary")
+    return reps.select("text", "runs").mapInArrow(run, "h bigint, rh bigint, core binary, print binary, o0 int, o1 int, twin boolean, bytes binary")
+
+
+def split_pieces(pieces: DataFrame, size: int) -> DataFrame:
+    """Pieces cut into pieces of ``size`` starts: core_, print_ and o1_ of the one that was cut, and those of the new ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["core_", "print_", "o1_", "core", "print", "o0", "o1", "twin", "bytes"]
+        kinds = (pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                for core, print_, o0, o1, piece in parts(r["bytes"], r["o0"], r["o1"], size):
+                    rows.append((r["core"], r["print"], r["o1"], core, print_, o0, o1, r["twin"], piece))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return pieces.select("core", "print", "o0", "o1", "twin", "bytes").mapInArrow(run, "core_ binary, print_ binary, o1_ int, core binary, print binary, o0 int, o1 int, twin boolean, bytes binary")
 
 
 def suffix_order(buf: np.ndarray, depth: int) -> np.ndarray:
@@ -272,11 +321,11 @@ def repeated(pieces: list[bytes], length: int = LENGTH) -> list[int]:
 
 
 def sorted_pieces(pieces: DataFrame) -> DataFrame:
-    """core, print and ``mask`` (bit i: the string i bytes after the piece's start is repeated) of distinct pieces."""
+    """core, print and ``mask`` (bit i: the string i bytes after the piece's start is repeated) of distinct pieces; twins count twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
-            masks = repeated([r["bytes"] for r in held])
+            masks = repeated([r["bytes"] for r in held] + [r["bytes"] for r in held if r["twin"]])[: len(held)]
             return pa.RecordBatch.from_arrays([pa.array([r["core"] for r in held], pa.binary()), pa.array([r["print"] for r in held], pa.binary()), pa.array(masks, pa.int64())], names=["core", "print", "mask"])
 
         held, size = [], 0
@@ -286,91 +335,86 @@ def sorted_pieces(pieces: DataFrame) -> DataFrame:
                     yield flush()
                     held, size = [], 0
                 held.append(r)
-                size += len(r["bytes"])
+                size += len(r["bytes"]) * (1 + r["twin"])
         if held:
             yield flush()
 
-    return pieces.select("core", "print", "bytes").repartition("core").sortWithinPartitions("core").mapInArrow(run, "core binary, print binary, mask bigint")
+    return pieces.select("core", "print", "twin", "bytes").repartition("core").sortWithinPartitions("core").mapInArrow(run, "core binary, print binary, mask bigint")
+
 
+def marked(pieces: DataFrame, splits: tuple[int, ...] = SPLITS) -> DataFrame:
+    """core, print and mask of ``pieces`` (distinct: core, print, o0, o1, twin, bytes) that hold repeated strings."""
+    sizes = pieces.groupBy("core").agg(F.count(F.lit(1)).alias("k"), F.max("twin").alias("t")).where("k > 1 or t").select(F.col("core").alias("c_"), (F.col("k") > FIT).alias("large"))
+    pieces = staged(pieces.join(sizes, F.col("core") == F.col("c_")).drop("c_"), "suffix-buckets")
+    found = sorted_pieces(pieces.where("not large"))
+    if splits and not pieces.where("large").isEmpty():
+        cut = staged(split_pieces(pieces.where("large"), splits[0]), "suffix-splits")
+        below = marked(distinct_pieces(cut), splits[1:]).select(F.col("core").alias("c_"), F.col("print").alias("p_"), "mask")
+        back = cut.join(below, (F.col("core") == F.col("c_")) & (F.col("print") == F.col("p_")))
+        moved = F.expr("shiftleft(mask, o1_ - o1)")
+        found = found.unionByName(back.select(F.col("core_").alias("core"), F.col("print_").alias("print"), moved.alias("mask")).groupBy("core", "print").agg(F.expr("bit_or(mask)").alias("mask")))
+    return found.where("mask <> 0")
 
-def crowded_pieces(pieces: DataFrame) -> DataFrame:
-    """``sorted_pieces`` for buckets that are not gathered: prints of the strings are counted."""
-    each = pieces.select("core", "print", "o1", "bytes", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - LENGTH)).alias("i"))
-    each = each.select("core", "print", "i", F.md5(F.substring("bytes", F.col("i") + 1, F.lit(LENGTH))).alias("p"), (F.col("o1") - F.col("i")).alias("o"))
-    twice = each.groupBy("p").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("p").alias("p_"))
-    return each.join(twice, F.col("p") == F.col("p_"), "left_semi").groupBy("core", "print").agg(F.expr("bit_or(shiftleft(cast(1 as bigint), i))").alias("mask"))
+
+def distinct_pieces(pieces: DataFrame) -> DataFrame:
+    """One row for each core and print; equal pieces are twins."""
+    return pieces.groupBy("core", "print").agg(((F.count(F.lit(1)) > 1) | F.max("twin")).alias("twin"), F.first("o0").alias("o0"), F.first("o1").alias("o1"), F.first("bytes").alias("bytes"))
 
 
 def removed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, n_bytes, n_removed, n_spans, kept (the remaining bytes) of the rows that lose bytes, and their tx."""
+    """name, n_removed, n_spans, kept (the remaining bytes) of the distinct texts that lose bytes; name is that of ``named``."""
     small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", empty_safe_text(docs).alias("text")).withColumn("tx", F.hash("text"))
+    docs = named(docs)
     every = staged(all_runs(docs), "suffix-runs")
-    anchors = every.groupBy("h").agg(F.sum("m").alias("t"), F.min("rh").alias("r0"), F.max("rh").alias("r1")).where("t > 1").select(F.col("h").alias("h_"), (F.col("r0") == F.col("r1")).alias("alike"))
+    anchors = every.groupBy("h").agg(F.sum("m").alias("t")).where("t > 1").select(F.col("h").alias("h_"))
     twice = staged(every.join(anchors, F.col("h") == F.col("h_")).drop("h_"), "suffix-anchors")
     discard(every)
-    classes = twice.where("not alike").groupBy("h", "rh").agg(F.sum("m").alias("c"), F.min(F.struct("doc_id", "tx", "start", "n", "off")).alias("rep"))
-    classes = staged(classes, "suffix-classes")
-    reps = classes.select(F.col("rep.doc_id").alias("d_"), F.col("rep.tx").alias("x_"), F.struct("h", "rh", "rep.start", "rep.n", "rep.off").alias("run"))
-    touched = twice.select(F.col("doc_id").alias("d_"), F.col("tx").alias("x_")).distinct().withColumn("run", F.lit(None).cast(reps.schema["run"].dataType))
-    asked = reps.unionByName(touched).groupBy("d_", "x_").agg(F.collect_list("run").alias("runs"))
-    texts = docs.join(asked, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("tx") == F.col("x_"))).drop("d_", "x_")
-    texts = staged(texts, "suffix-texts")
-    # Rows that agree in doc_id and text cut the same pieces, which then count as repeated; and so they are.
+    classes = twice.groupBy("h", "rh").agg((F.sum("m") > 1).alias("twin"), F.min(F.struct("name", "start", "n", "off")).alias("rep"))
+    reps = classes.select(F.col("rep.name").alias("n_"), F.struct("h", "rh", "rep.start", "rep.n", "rep.off", "twin").alias("run"))
+    touched = twice.select(F.col("name").alias("n_")).distinct().withColumn("run", F.lit(None).cast(reps.schema["run"].dataType))
+    asked = reps.unionByName(touched).groupBy("n_").agg(F.collect_list("run").alias("runs"))
+    # Copies go in each task before they are dealt out by name.
+    texts = staged(docs.dropDuplicates(["name"]).join(asked, F.col("name") == F.col("n_")).drop("n_"), "suffix-texts")
+    # Equal pieces of different runs are twins too.
     pieces = staged(cut_pieces(texts.where("size(runs) > 0")), "suffix-pieces")
-    distinct = pieces.groupBy("core", "print").agg(F.count(F.lit(1)).alias("same"))
-    crowd = distinct.groupBy("core").agg(F.count(F.lit(1)).alias("k"), F.sum("same").alias("t")).where("t > 1").select(F.col("core").alias("c_"), (F.col("k") > 1).alias("mixed"), (F.col("k") > CROWD).alias("crowded"))
-    near = pieces.join(crowd, F.col("core") == F.col("c_")).drop("c_")
-    near = staged(near, "suffix-near")
-    discard(pieces)
-    one = near.where("mixed").dropDuplicates(["core", "print"])
-    masks = sorted_pieces(one.where("not crowded")).unionByName(crowded_pieces(one.where("crowded")))
-    counted = near.groupBy("core", "print").agg(F.count(F.lit(1)).alias("same"), F.max("o0").alias("o0"), F.max("o1").alias("o1"))
-    masks = counted.join(masks.withColumnsRenamed({"core": "c_", "print": "p_"}), (F.col("core") == F.col("c_")) & (F.col("print") == F.col("p_")), "left")
-    full = F.expr("shiftleft(cast(1 as bigint), o1 - o0 + 1) - 1")
-    masks = masks.select(F.col("core").alias("c_"), F.col("print").alias("p_"), F.when(F.col("same") > 1, full).otherwise(F.coalesce("mask", F.lit(0))).alias("mask")).where("mask <> 0")
-    parts = near.join(masks, (F.col("core") == F.col("c_")) & (F.col("print") == F.col("p_"))).groupBy("h", "rh").agg(F.collect_list(F.struct("o1", "mask")).alias("parts"))
-    verdict = classes.select(F.col("h").alias("h_"), F.col("rh").alias("r_"), "c").join(parts, (F.col("h_") == F.col("h")) & (F.col("r_") == F.col("rh")), "left").drop("h", "rh")
-    verdict = staged(verdict.where("c > 1 or parts is not null"), "suffix-verdicts")
-    some = twice.where("not alike").join(verdict, (F.col("h") == F.col("h_")) & (F.col("rh") == F.col("r_")))
-    cover = F.struct("start", "n", "off", "m", F.col("c").cast("long").alias("c"), "parts")
-    none = F.lit(None).cast(verdict.schema["parts"].dataType)
-    covers = some.select("doc_id", "tx", cover.alias("x")).unionByName(twice.where("alike").withColumn("c", F.lit(2)).withColumn("parts", none).select("doc_id", "tx", cover.alias("x")))
-    covers = covers.groupBy(F.col("doc_id").alias("d_"), F.col("tx").alias("x_")).agg(F.collect_list("x").alias("covers"))
-    found = texts.drop("runs").join(covers, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("tx") == F.col("x_"))).drop("d_", "x_")
+    masks = marked(distinct_pieces(pieces)).select(F.col("core").alias("c_"), F.col("print").alias("p_"), "mask")
+    hits = pieces.join(masks, (F.col("core") == F.col("c_")) & (F.col("print") == F.col("p_")))
+    hits = hits.groupBy(F.col("h").alias("h_"), F.col("rh").alias("r_")).agg(F.collect_list(F.struct("o1", "mask")).alias("parts"))
+    hits = staged(hits, "suffix-verdicts")
+    some = twice.join(hits, (F.col("h") == F.col("h_")) & (F.col("rh") == F.col("r_")))
+    covers = some.groupBy(F.col("name").alias("n_")).agg(F.collect_set(F.struct("start", "off", "m", "n", "parts")).alias("covers"))
+    found = texts.drop("runs").join(covers, F.col("name") == F.col("n_")).drop("n_")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_bytes, gone, spans, kept = [], [], [], []
+            gone, spans, kept = [], [], []
             for text, each in zip(as_bytes(batch.column("text")), batch.column("covers").to_pylist(), strict=True):
                 step = np.zeros(len(text) + 1, np.int64)
                 for r in each:
-                    if r["c"] > 1:
-                        step[r["start"]] += 1
-                        step[r["start"] + r["m"] * r["n"] - 1 + LENGTH] -= 1
-                        continue
                     for part in r["parts"]:
-                        at = r["start"] + r["off"] - part["o1"]
-                        for i in range(PIECE):
-                            if part["mask"] >> i & 1:
-                                step[at + i] += 1
-                                step[at + i + LENGTH] -= 1
+                        at, mask = r["start"] + r["off"] - part["o1"], part["mask"]
+                        while mask:
+                            a = (mask & -mask).bit_length() - 1
+                            b = a + ((mask >> a) + 1 & -((mask >> a) + 1)).bit_length() - 1  # the end of this run of ones
+                            mask = mask >> b << b
+                            for k in range(r["m"]):
+                                step[at + k * r["n"] + a] += 1
+                                step[at + k * r["n"] + b - 1 + LENGTH] -= 1
                 covered = np.cumsum(step[:-1]) > 0
-                n_bytes.append(len(text))
                 gone.append(int(covered.sum()))
                 spans.append(int((covered & ~np.concatenate(([False], covered[:-1]))).sum()))
                 kept.append(np.frombuffer(text, np.uint8)[~covered].tobytes())
             extra = [pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tx"), *extra], names=["doc_id", "tx", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("name"), *extra], names=["name", "n_removed", "n_spans", "kept"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return found.mapInArrow(cut, f"doc_id {kind}, tx int, n_removed bigint, n_spans bigint, kept binary")
+    return found.mapInArrow(cut, "name binary, n_removed bigint, n_spans bigint, kept binary")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs``."""
     t = empty_safe_text(docs)
-    base = staged(docs.select("doc_id", F.hash(t).alias("tx"), F.octet_length(t).cast("long").alias("n_bytes"), F.sha2(t.cast("binary"), 256).alias("sha")), "suffix-base")
-    cut = removed(docs).select(F.col("doc_id").alias("d_"), F.col("tx").alias("x_"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")).dropDuplicates(["d_", "x_"])
-    out = base.join(cut, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("tx") == F.col("x_")), "left")
+    base = docs.select("doc_id", F.unhex(F.md5(t)).alias("name"), F.octet_length(t).cast("long").alias("n_bytes"), F.sha2(t.cast("binary"), 256).alias("sha"))
+    base = staged(base, "suffix-base")
+    cut = removed(docs).select(F.col("name").alias("n_"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    out = base.join(cut, F.col("name") == F.col("n_"), "left")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))

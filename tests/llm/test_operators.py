@@ -3,6 +3,7 @@
 import html as entities
 import random
 import textwrap
+import time
 import tracemalloc
 from collections import Counter, defaultdict
 
@@ -58,9 +59,9 @@ def test_suffix_order_sorts_and_finds_repeats():
     assert suffix_dedup.repeated(pieces, 8) == [sum(1 << i for i in range(max(0, len(p) - 7)) if count[p[i : i + 8]] > 1) for p in pieces]
 
 
-@pytest.mark.parametrize("crowd", [2000, 1])
-def test_suffix_dedup(docs, crowd, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+@pytest.mark.parametrize("fit", [2000, 1])
+def test_suffix_dedup(docs, fit, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "FIT", fit)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.digest(docs).collect()}
     assert got == dict(enumerate(brute.suffix(TEXTS)))
 
@@ -69,6 +70,10 @@ def test_suffix_dedup_of_repeated_rows(spark):
     rows = [(1, "ab" * 150), (1, "ab" * 150), (1, "other " * 5), (None, "cd" * 150), (2, "cd" * 150)]
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffix_dedup.digest(frame(spark, rows)).collect())
     assert got == Counter({(1, 300, 300): 2, (1, 30, 0): 1, (None, 300, 300): 1, (2, 300, 300): 1})
+    began = time.time()
+    many = frame(spark, [(1, TEXTS[-4])] * 3000 + [(2, TEXTS[-4][:-5] + "other")]).repartition(4)
+    assert {(r["n_bytes"] - r["n_removed"]) for r in suffix_dedup.digest(many).collect()} == {0, 5}
+    assert time.time() - began < 60
 
 
 def test_jaccard_groups(docs):
