@@ -4,8 +4,8 @@ Suffixes of the whole corpus are dealt to buckets that can be sorted side by sid
 GRAM bytes of least hash, so equal strings have equal anchors at equal places. Consecutive starts with one
 anchor form a run.
 
-1. Texts are named by a 128-bit print. Equal texts are read once or twice by each task, as a third copy says
-   nothing new. An anchor that occurs once has no repeated string and is dropped.
+1. Texts are named by a 128-bit print, and equal texts are one from here on: all their strings are repeated. An
+   anchor that occurs at one place only of all distinct texts has no other repeated string and is dropped.
 2. One run of each remaining content is cut into pieces of PIECE starts at fixed places from the anchor; a run
    that occurs more than once is a twin of itself. The bytes that all strings of a piece share (its core) are the
    bucket. A bucket of one piece without a twin has no repeat.
@@ -119,16 +119,16 @@ def named(docs: DataFrame) -> DataFrame:
 def all_runs(texts: DataFrame) -> DataFrame:
     """name, h, rh, start, n, off, m: m equal runs of n starts that follow each other count as one row.
 
-    A task gives a text's runs at its first and at its second sight only.
+    A task gives the runs of equal texts once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
+        seen: set[bytes] = set()
         for batch in batches:
             fresh = []
             for k, name in enumerate(batch.column("name").to_pylist()):
-                seen[name] = seen.get(name, 0) + 1
-                if seen[name] <= 2:
+                if name not in seen:
+                    seen.add(name)
                     fresh.append(k)
             names = batch.column("name").take(pa.array(fresh, pa.int64()))
             for buf, last, first, numbers in blocks(as_bytes(batch.column("text").take(pa.array(fresh, pa.int64())))):
@@ -164,9 +164,13 @@ def parts(data: bytes, o0: int, o1: int, size: int) -> Iterator[tuple[bytes, byt
 
 
 def cut_pieces(reps: DataFrame) -> DataFrame:
-    """Rows of ``reps`` (text, and runs as h, rh, start, n, off, twin) as pieces: h, rh, core, print, o0, o1, twin, bytes."""
+    """Rows of ``reps`` (text, and runs as h, rh, start, n, off, twin) as pieces: h, rh, core, print, o0, o1, twin, bytes.
+
+    Where a task cuts a piece again, it leaves out the bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
             for text, each in zip(as_bytes(batch.column("text")), batch.column("runs").to_pylist(), strict=True):
@@ -176,8 +180,9 @@ def cut_pieces(reps: DataFrame) -> DataFrame:
                     at, to = r["start"], r["off"]  # the first start, and its anchor's place
                     data = text[at : at + r["n"] - 1 + LENGTH]
                     for core, print_, o0, o1, piece in parts(data, to - r["n"] + 1, to, PIECE):
-                        for c, v in zip(out, (r["h"], r["rh"], core, print_, o0, o1, r["twin"], piece), strict=True):
+                        for c, v in zip(out, (r["h"], r["rh"], core, print_, o0, o1, r["twin"], None if print_ in seen else piece), strict=True):
                             c.append(v)
+                        seen.add(print_)
             if out[0]:
                 kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["h", "rh", "core", "print", "o0", "o1", "twin", "bytes"])
@@ -202,6 +207,14 @@ def split_pieces(pieces: DataFrame, size: int) -> DataFrame:
     return pieces.select("core", "print", "o0", "o1", "twin", "bytes").mapInArrow(run, "core_ binary, print_ binary, o1_ int, core binary, print binary, o0 int, o1 int, twin boolean, bytes binary")
 
 
+def stretches(buf: np.ndarray, depth: int) -> np.ndarray:
+    """A hash of the ``depth`` bytes from each position, with zeros after the end."""
+    padded = np.concatenate((buf, np.zeros(depth, np.uint8)))
+    up, down = powers(len(padded) + 1)
+    total = np.concatenate((np.zeros(1, U), np.cumsum(VALUES[padded] * up[: len(padded)], dtype=U)))
+    return mix((total[depth : depth + len(buf)] - total[: len(buf)]) * down[: len(buf)])
+
+
 def suffix_order(buf: np.ndarray, depth: int) -> np.ndarray:
     """Starts of all suffixes of ``buf``, sorted by their first ``depth`` bytes at least, in two stages.
 
@@ -222,21 +235,36 @@ def suffix_order(buf: np.ndarray, depth: int) -> np.ndarray:
     smaller[inside] = buf[at + 1] > buf[at]
 
     idx = np.flatnonzero(smaller)
+    whole = stretches(buf, depth)
     group = np.zeros(len(idx), np.int64)
     open_ = np.arange(len(idx))
     for k in range(0, depth, 8):
         if not len(open_):
             break
-        rows = idx[open_]
+        # Groups of equal stretches of ``depth`` bytes need no order; groups that agree in this word need no sorting.
+        rows, g = idx[open_], group[open_]
+        first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        count = np.diff(np.concatenate((first, [len(g)])))
+        same = whole[rows] == np.repeat(whole[rows[first]], count)
+        live = np.repeat(~np.logical_and.reduceat(same, first), count)
+        open_, rows, g = open_[live], rows[live], g[live]
+        if not len(open_):
+            break
         key = word[np.minimum(rows + k, n)]
-        order = np.lexsort((key, group[open_]))
-        idx[open_] = rows[order]
-        key, g = key[order], group[open_]
+        first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        count = np.diff(np.concatenate((first, [len(g)])))
+        apart = np.repeat(np.logical_or.reduceat(key != np.repeat(key[first], count), first), count)
+        if not apart.any():
+            continue
+        part = open_[apart]
+        order = np.lexsort((key[apart], g[apart]))
+        idx[part] = rows[apart][order]
+        key, g = key[apart][order], g[apart]
         new = np.concatenate(([True], (g[1:] != g[:-1]) | (key[1:] != key[:-1])))
         first = np.flatnonzero(new)
-        group[open_] = open_[first[np.cumsum(new) - 1]]
-        tied = np.diff(np.concatenate((first, [len(open_)]))) > 1
-        open_ = open_[tied[np.cumsum(new) - 1]]
+        group[part] = part[first[np.cumsum(new) - 1]]
+        tied = np.diff(np.concatenate((first, [len(part)]))) > 1
+        open_ = np.sort(np.concatenate((open_[~apart], part[tied[np.cumsum(new) - 1]])))
 
     counts = np.bincount(buf, minlength=256)
     head = np.concatenate(([0], np.cumsum(counts)))
@@ -281,21 +309,17 @@ def suffix_order(buf: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def common(buf: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefix lengths, up to ``depth``, of suffixes at least that long."""
+def equal_neighbours(buf: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """Whether the common prefix of neighbours is ``depth`` bytes or more; suffixes are at least that long."""
+    whole = stretches(buf, depth)
+    live = np.flatnonzero(whole[a] == whole[b])
     word = np.zeros(len(buf) - 7, np.uint64)
     for k in range(8):
         word = (word << np.uint64(8)) | buf[k : k + len(word)]
-    out = np.zeros(len(a), np.int64)
-    live = np.arange(len(a))
-    for k in range(0, depth - 7, 8):
+    for k in [*range(0, depth - 7, 8), depth - 8]:
         live = live[word[a[live] + k] == word[b[live] + k]]
-        out[live] = k + 8
-    live = np.flatnonzero(out < depth)
-    for _ in range(7):
-        x = np.minimum(out[live], depth - 1)
-        live = live[(out[live] < depth) & (buf[a[live] + x] == buf[b[live] + x])]
-        out[live] += 1
+    out = np.zeros(len(a), bool)
+    out[live] = True
     return out
 
 
@@ -310,14 +334,14 @@ def repeated(pieces: list[bytes], length: int = LENGTH) -> list[int]:
     order = order[whole[order]]
     if len(order) < 2:
         return [0] * len(pieces)
-    twin = common(buf, order[:-1], order[1:], length) >= length
+    twin = equal_neighbours(buf, order[:-1], order[1:], length)
     hit = np.zeros(len(buf), bool)
     hit[order[:-1][twin]] = True
     hit[order[1:][twin]] = True
-    out = [0] * len(pieces)
-    for i in np.flatnonzero(hit).tolist():
-        out[owner[i]] |= 1 << int(i - first[owner[i]])
-    return out
+    at = np.flatnonzero(hit)
+    out = np.zeros(len(pieces), np.int64)
+    np.bitwise_or.at(out, owner[at], np.left_shift(1, at - first[owner[at]]))
+    return out.tolist()
 
 
 def sorted_pieces(pieces: DataFrame) -> DataFrame:
@@ -343,44 +367,47 @@ def sorted_pieces(pieces: DataFrame) -> DataFrame:
 
 
 def marked(pieces: DataFrame, splits: tuple[int, ...] = SPLITS) -> DataFrame:
-    """core, print and mask of ``pieces`` (distinct: core, print, o0, o1, twin, bytes) that hold repeated strings."""
-    sizes = pieces.groupBy("core").agg(F.count(F.lit(1)).alias("k"), F.max("twin").alias("t")).where("k > 1 or t").select(F.col("core").alias("c_"), (F.col("k") > FIT).alias("large"))
-    pieces = staged(pieces.join(sizes, F.col("core") == F.col("c_")).drop("c_"), "suffix-buckets")
-    found = sorted_pieces(pieces.where("not large"))
-    if splits and not pieces.where("large").isEmpty():
-        cut = staged(split_pieces(pieces.where("large"), splits[0]), "suffix-splits")
-        below = marked(distinct_pieces(cut), splits[1:]).select(F.col("core").alias("c_"), F.col("print").alias("p_"), "mask")
+    """core, print and mask of ``pieces`` (core, print, o0, o1, twin, bytes) that hold repeated strings; equal pieces are twins."""
+    distinct = pieces.groupBy("core", "print").agg(((F.count(F.lit(1)) > 1) | F.max("twin")).alias("twin"))
+    sizes = distinct.groupBy("core").agg(F.count(F.lit(1)).alias("k"), F.max("twin").alias("t")).where("k > 1 or t").select(F.col("core").alias("s_"), (F.col("k") > FIT).alias("large"))
+    wanted = staged(distinct.join(sizes, F.col("core") == F.col("s_")).select(F.col("core").alias("c_"), F.col("print").alias("p_"), "twin", "large"), "suffix-buckets")
+    given = pieces.where("bytes is not null").select("core", "print", "o0", "o1", "bytes")
+    given = given.join(wanted, (F.col("core") == F.col("c_")) & (F.col("print") == F.col("p_"))).drop("c_", "p_").dropDuplicates(["core", "print"])
+    found = sorted_pieces(given.where("not large"))
+    if splits and not wanted.where("large").isEmpty():
+        cut = staged(split_pieces(given.where("large"), splits[0]), "suffix-splits")
+        below = marked(cut, splits[1:]).select(F.col("core").alias("c_"), F.col("print").alias("p_"), "mask")
         back = cut.join(below, (F.col("core") == F.col("c_")) & (F.col("print") == F.col("p_")))
         moved = F.expr("shiftleft(mask, o1_ - o1)")
         found = found.unionByName(back.select(F.col("core_").alias("core"), F.col("print_").alias("print"), moved.alias("mask")).groupBy("core", "print").agg(F.expr("bit_or(mask)").alias("mask")))
     return found.where("mask <> 0")
 
 
-def distinct_pieces(pieces: DataFrame) -> DataFrame:
-    """One row for each core and print; equal pieces are twins."""
-    return pieces.groupBy("core", "print").agg(((F.count(F.lit(1)) > 1) | F.max("twin")).alias("twin"), F.first("o0").alias("o0"), F.first("o1").alias("o1"), F.first("bytes").alias("bytes"))
-
-
 def removed(docs: DataFrame) -> DataFrame:
-    """name, n_removed, n_spans, kept (the remaining bytes) of the distinct texts that lose bytes; name is that of ``named``."""
+    """name, n_removed, n_spans, kept (the remaining bytes) of the distinct texts that lose bytes, but for texts that
+    are in more than one row, which lose all of them; name is that of ``named``.
+    """
     small_batches(docs.sparkSession)
     docs = named(docs)
     every = staged(all_runs(docs), "suffix-runs")
-    anchors = every.groupBy("h").agg(F.sum("m").alias("t")).where("t > 1").select(F.col("h").alias("h_"))
+    # Equal texts that were read by several tasks give the same places.
+    place = F.xxhash64("name", "start")
+    anchors = every.groupBy("h").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.max("m").alias("m")).where("a < b or m > 1").select(F.col("h").alias("h_"))
     twice = staged(every.join(anchors, F.col("h") == F.col("h_")).drop("h_"), "suffix-anchors")
     discard(every)
-    classes = twice.groupBy("h", "rh").agg((F.sum("m") > 1).alias("twin"), F.min(F.struct("name", "start", "n", "off")).alias("rep"))
+    twin = (F.min(place) < F.max(place)) | (F.max("m") > 1)
+    classes = twice.groupBy("h", "rh").agg(twin.alias("twin"), F.min(F.struct("name", "start", "n", "off")).alias("rep"))
     reps = classes.select(F.col("rep.name").alias("n_"), F.struct("h", "rh", "rep.start", "rep.n", "rep.off", "twin").alias("run"))
     touched = twice.select(F.col("name").alias("n_")).distinct().withColumn("run", F.lit(None).cast(reps.schema["run"].dataType))
     asked = reps.unionByName(touched).groupBy("n_").agg(F.collect_list("run").alias("runs"))
     # Copies go in each task before they are dealt out by name.
     texts = staged(docs.dropDuplicates(["name"]).join(asked, F.col("name") == F.col("n_")).drop("n_"), "suffix-texts")
-    # Equal pieces of different runs are twins too.
     pieces = staged(cut_pieces(texts.where("size(runs) > 0")), "suffix-pieces")
-    masks = marked(distinct_pieces(pieces)).select(F.col("core").alias("c_"), F.col("print").alias("p_"), "mask")
-    hits = pieces.join(masks, (F.col("core") == F.col("c_")) & (F.col("print") == F.col("p_")))
+    masks = staged(marked(pieces), "suffix-masks").select(F.col("core").alias("c_"), F.col("print").alias("p_"), "mask")
+    hits = pieces.drop("bytes").join(masks, (F.col("core") == F.col("c_")) & (F.col("print") == F.col("p_")))
     hits = hits.groupBy(F.col("h").alias("h_"), F.col("rh").alias("r_")).agg(F.collect_list(F.struct("o1", "mask")).alias("parts"))
     hits = staged(hits, "suffix-verdicts")
+    discard(pieces)
     some = twice.join(hits, (F.col("h") == F.col("h_")) & (F.col("rh") == F.col("r_")))
     covers = some.groupBy(F.col("name").alias("n_")).agg(F.collect_set(F.struct("start", "off", "m", "n", "parts")).alias("covers"))
     found = texts.drop("runs").join(covers, F.col("name") == F.col("n_")).drop("n_")
@@ -415,6 +442,11 @@ def digest(docs: DataFrame) -> DataFrame:
     t = empty_safe_text(docs)
     base = docs.select("doc_id", F.unhex(F.md5(t)).alias("name"), F.octet_length(t).cast("long").alias("n_bytes"), F.sha2(t.cast("binary"), 256).alias("sha"))
     base = staged(base, "suffix-base")
+    copied = base.groupBy(F.col("name").alias("m_")).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1).select("m_")
     cut = removed(docs).select(F.col("name").alias("n_"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    out = base.join(cut, F.col("name") == F.col("n_"), "left")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    known = cut.join(copied, F.col("n_") == F.col("m_"), "full_outer").select(F.coalesce("n_", "m_").alias("n_"), F.col("m_").isNotNull().alias("all_"), "n_removed", "n_spans", "kept_sha256")
+    out = base.join(known, F.col("name") == F.col("n_"), "left")
+    gone = F.col("all_") & (F.col("n_bytes") >= LENGTH)
+    count = lambda c, whole: F.when(gone, whole).otherwise(F.coalesce(c, F.lit(0))).cast("long").alias(c)
+    none = F.lit(hashlib.sha256(b"").hexdigest())
+    return out.select("doc_id", "n_bytes", count("n_removed", F.col("n_bytes")), count("n_spans", F.lit(1)), F.when(gone, none).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"))
