@@ -241,3 +241,49 @@ def main_texts(pages, read, names=True):
         kept = kept or left
         out[i] = ("\n".join(t for _, t in kept), len(p.blocks) - len(kept), sum(cut[k][1] for k, _ in p.blocks))
     return out
+
+
+def pseudo_likelihood(texts, net, count, others, lm):
+    """(tokens, log-probability, tokens recalled) of each list of words. net, lm: the weights, and the constants and hashes."""
+
+    def hashes(w):
+        return next(lm.words([" ".join(w).encode()], lm.SPACED))[1].hashes
+
+    def dot(a, b):
+        return sum(float(x) * float(y) for x, y in zip(a, b, strict=True))
+
+    def chances(z):
+        top = max(z)
+        total = sum(math.exp(x - top) for x in z)
+        return [math.exp(x - top) / total for x in z]
+
+    known = dict(zip(net.known.tolist(), net.number.tolist(), strict=True))
+    size, starts, seen, cells, out = len(known), net.starts.tolist(), Counter(), Counter(), []
+    each = []
+    for w in texts:
+        h = [int(x) for x in hashes(w)] if w else []
+        keys = lm.window_keys(lm.np.array(h, lm.U), lm.np.array([0, len(h)])).tolist() if w else []
+        padded = ["", "", *w, "", ""]
+        each.append((h, keys, [(*padded[k : k + 2], *padded[k + 3 : k + 5]) for k in range(len(w))]))
+        for k, key in enumerate(keys):
+            if key % lm.MEMORY == 0:
+                seen[each[-1][2][k]] += 1
+                cells[each[-1][2][k], h[k]] += 1
+    for h, keys, around in each:
+        number = [size + 1] * 2 + [known.get(x, size) for x in h] + [size + 1] * 2
+        total, hits = 0.0, 0
+        for k, x in enumerate(h):
+            window = [float(v) for j in (k, k + 1, k + 3, k + 4) for v in net.embed[number[j]]]
+            units = [math.tanh(dot(window, net.hidden[:-1, j]) + float(net.hidden[-1, j])) for j in range(lm.WIDTH)]
+            by = chances([dot(units, net.classes[:-1, j]) + float(net.classes[-1, j]) for j in range(len(starts))])
+            if x in known:
+                c = max(j for j, a in enumerate(starts[:-1]) if a <= known[x])
+                p = by[c] * chances([dot(units, net.members[j, :-1]) + float(net.members[j, -1]) for j in range(starts[c], starts[c + 1])])[known[x] - starts[c]]
+            else:
+                p = by[-1] * count[int(lm.np.uint64(x).astype(lm.np.int64))] / others
+            if keys[k] % lm.MEMORY == 0:
+                n, c = seen[around[k]] - 1, cells[around[k], x] - 1
+                p, hits = (p * lm.KAPPA + c) / (n + lm.KAPPA), hits + (c > 0)
+            total += math.log(p)
+        out.append((len(h), total, hits))
+    return out

@@ -244,17 +244,35 @@ def test_license_model_holds_out():
             assert m["labels"][int(z.argmax())] == family, t
 
 
-def test_lm_scores(docs):
-    got = {r["doc_id"]: r for r in lm_score.scores(docs).collect()}
-    of, share, between = lm_score.model(docs)
-    assert np.allclose(np.exp(between).sum(2), 1)
-    for i, t in ROWS:
-        w = brute.SPACED.findall(brute.fold(t))
-        assert got[i]["n_tokens"] == len(w) and (got[i]["mean_log_prob"] is None) == (not w)
-        h = next(x.hashes for _, x in words.words([(t or "").encode()], words.SPACED)) if w else []
-        c = [0, *(int(of[lm_score.bucket(np.array([x], np.uint64))[0]]) for x in h), 0]
-        total = sum(between[c[k], c[k + 2], c[k + 1]] + share[lm_score.bucket(np.array([h[k]], np.uint64))[0]] for k in range(len(w)))
-        assert abs(got[i]["log_prob"] - total) < 1e-4
+def test_lm_scores_against_a_plain_version(docs):
+    every, others, net = lm_score.model(docs)
+    count = {r["w"]: r["n"] for r in every.collect()}
+    texts = [brute.SPACED.findall(brute.fold(t)) for t in TEXTS]
+    assert sum(count.values()) == sum(map(len, texts)) and len(count) == len({w for t in texts for w in t}) and others == 0
+    small = lm_score.replace(net, known=net.known[::2], number=np.arange(len(net.known[::2])))
+    small.starts = np.array([0, 5, 9, small.size])
+    small.classes, small.members, small.embed = net.classes[:, :4], net.members[: small.size], net.embed[: small.size + 2]
+    window = np.array([[3, small.size, 0, small.size + 1]] * (small.size + 1))
+    assert abs(np.exp(small.log_probabilities(window, np.arange(small.size + 1))).sum() - 1) < 1e-4
+    left_out = sum(n for w, n in count.items() if np.int64(w).view(np.uint64) not in set(small.known))
+    got = {r["doc_id"]: r for r in lm_score.scores(docs, lambda _: (every, left_out, small)).collect()}
+    wanted = brute.pseudo_likelihood(texts, small, count, left_out, lm_score)
+    for i, (n, total, hits) in enumerate(wanted):
+        assert got[i]["n_tokens"] == n and abs(got[i]["log_prob"] - total) < 1e-3 * max(1, n) and got[i]["n_recalled"] == hits
+        assert (got[i]["mean_log_prob"] is None) == (not n)
+    assert sum(h for _, _, h in wanted) > 0
+
+
+def test_lm_learns_from_both_sides(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BATCH", 64)
+    r = random.Random(4)
+    rows = [(i, " ".join(f"{x} {x + y} {y}" for x, y in [(r.choice("ab"), r.choice("cd")) for _ in range(40)])) for i in range(600)]
+    _, _, net = lm_score.model(frame(spark, rows).repartition(2))
+    number = lambda w: int(net.numbers(next(lm_score.words([w.encode()], lm_score.SPACED))[1].hashes)[0])
+    middle = np.array([number(x + y) for x in "ab" for y in "cd"])
+    for k, (x, y) in enumerate((x, y) for x in "ab" for y in "cd"):
+        window = np.array([[number("c"), number(x), number(y), number("a")]] * 4)
+        assert net.log_probabilities(window, middle).argmax() == k
 
 
 def test_lm_prefers_what_it_has_seen(spark):
@@ -263,6 +281,15 @@ def test_lm_prefers_what_it_has_seen(spark):
     assert got[0] > got[99] + 1
 
 
+def test_lm_knows_documents_that_occur_twice(spark):
+    texts = brute.corpus(9)[-1]
+    r = random.Random(8)
+    some = [" ".join(r.choices(texts.split() + [f"w{k}" for k in range(400)], k=120)) for _ in range(60)]
+    got = {x["doc_id"]: x for x in lm_score.scores(frame(spark, list(enumerate(some + some[:6])))).collect()}
+    twice = [got[i]["mean_log_prob"] for i in range(6)]
+    assert min(twice) > max(got[i]["mean_log_prob"] for i in range(6, 60)) and all(got[i]["n_recalled"] > 0 for i in range(6))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="<p>no</p>";</script></head><body>
 <header>Site</header><nav><ul><li><a href="/">Home</a></ul></nav><div class="ad">Buy</div><aside>Side</aside>{body}
 <form><input value=x>Mail</form><div id="comments"><p>First!</p></div><div class='cookie-notice'>We use</div><footer>&copy; us</footer></body></html>"""
