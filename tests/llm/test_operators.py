@@ -249,12 +249,14 @@ def test_lm_scores_against_a_plain_version(docs):
     count = {r["w"]: r["n"] for r in every.collect()}
     texts = [brute.SPACED.findall(brute.fold(t)) for t in TEXTS]
     assert sum(count.values()) == sum(map(len, texts)) and len(count) == len({w for t in texts for w in t}) and others == 0
-    small = lm_score.replace(net, known=net.known[::2], number=np.arange(len(net.known[::2])))
+    rest = net.known[1::4]
+    small = lm_score.replace(net, known=net.known[::2], number=np.arange(len(net.known[::2])), rest=rest)
     small.starts = np.array([0, 5, 9, small.size])
     small.classes, small.members, small.embed = net.classes[:, :4], net.members[: small.size], net.embed[: small.size + 2]
     window = np.array([[3, small.size, 0, small.size + 1]] * (small.size + 1))
     assert abs(np.exp(small.log_probabilities(window, np.arange(small.size + 1))).sum() - 1) < 1e-4
     left_out = sum(n for w, n in count.items() if np.int64(w).view(np.uint64) not in set(small.known))
+    small.share = np.log([count[int(w.view(np.int64))] / left_out for w in rest])
     got = {r["doc_id"]: r for r in lm_score.scores(docs, lambda _: (every, left_out, small)).collect()}
     wanted = brute.pseudo_likelihood(texts, small, count, left_out, lm_score)
     for i, (n, total, hits) in enumerate(wanted):
