@@ -42,9 +42,9 @@ PLACES = LENGTH - GRAM + 1
 #: Starts of a piece, at first and when a bucket of more than FIT pieces has to be split.
 PIECE = 57
 SPLITS = (8, 1)
-FIT = 2000
+FIT = 1000
 #: Bytes of pieces that are sorted at once.
-PACK = 1 << 20
+PACK = 1 << 18
 _PLACE_BITS = 22
 #: No byte of UTF-8.
 END = 0xFF
@@ -215,27 +215,27 @@ def stretches(buf: np.ndarray, depth: int) -> np.ndarray:
     return mix((total[depth : depth + len(buf)] - total[: len(buf)]) * down[: len(buf)])
 
 
-def suffix_order(buf: np.ndarray, depth: int) -> np.ndarray:
+def words_of(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position as a number that is greater if they are."""
+    return np.ndarray(len(buf) - 7, ">u8", np.ascontiguousarray(buf), strides=(1,)).astype(U)
+
+
+def suffix_order(buf: np.ndarray, depth: int, whole: np.ndarray | None = None) -> np.ndarray:
     """Starts of all suffixes of ``buf``, sorted by their first ``depth`` bytes at least, in two stages.
 
-    ``buf`` has to end with its greatest byte. Suffixes smaller than their successor are sorted directly, a
+    ``buf`` has to end with its greatest byte; ``whole`` is its ``stretches``. Suffixes smaller than their successor are sorted directly, a
     word of eight bytes at a time; each of the others follows from its successor's place.
     """
     n = len(buf)
     padded = np.concatenate((buf, np.zeros(depth + 16, np.uint8)))
-    word = np.zeros(n + depth + 8, np.uint64)
-    for k in range(8):
-        word = (word << np.uint64(8)) | padded[k : k + len(word)]
+    word = words_of(padded)
     # A suffix is smaller than its successor if the next byte that differs is greater; the end counts as less than all bytes.
     change = np.flatnonzero(buf[1:] != buf[:-1])
-    nxt = np.searchsorted(change, np.arange(n))
     smaller = np.zeros(n, bool)
-    inside = nxt < len(change)
-    at = change[nxt[inside]]
-    smaller[inside] = buf[at + 1] > buf[at]
+    smaller[: change[-1] + 1 if len(change) else 0] = np.repeat(buf[change + 1] > buf[change], np.diff(change, prepend=-1))
 
     idx = np.flatnonzero(smaller)
-    whole = stretches(buf, depth)
+    whole = stretches(buf, depth) if whole is None else whole
     group = np.zeros(len(idx), np.int64)
     open_ = np.arange(len(idx))
     for k in range(0, depth, 8):
@@ -257,7 +257,7 @@ def suffix_order(buf: np.ndarray, depth: int) -> np.ndarray:
         if not apart.any():
             continue
         part = open_[apart]
-        order = np.lexsort((key[apart], g[apart]))
+        order = np.lexsort((key[apart], g[apart])) if k else np.argsort(key)
         idx[part] = rows[apart][order]
         key, g = key[apart][order], g[apart]
         new = np.concatenate(([True], (g[1:] != g[:-1]) | (key[1:] != key[:-1])))
@@ -309,13 +309,10 @@ def suffix_order(buf: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def equal_neighbours(buf: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+def equal_neighbours(buf: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int, whole: np.ndarray) -> np.ndarray:
     """Whether the common prefix of neighbours is ``depth`` bytes or more; suffixes are at least that long."""
-    whole = stretches(buf, depth)
     live = np.flatnonzero(whole[a] == whole[b])
-    word = np.zeros(len(buf) - 7, np.uint64)
-    for k in range(8):
-        word = (word << np.uint64(8)) | buf[k : k + len(word)]
+    word = words_of(buf)
     for k in [*range(0, depth - 7, 8), depth - 8]:
         live = live[word[a[live] + k] == word[b[live] + k]]
     out = np.zeros(len(a), bool)
@@ -326,7 +323,8 @@ def equal_neighbours(buf: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int)
 def repeated(pieces: list[bytes], length: int = LENGTH) -> list[int]:
     """For each piece the bits of the starts whose string of ``length`` bytes starts elsewhere in the pieces too."""
     buf = np.frombuffer(b"".join(p + b"\xff" for p in pieces), np.uint8)
-    order = suffix_order(buf, length)
+    alike = stretches(buf, length)
+    order = suffix_order(buf, length, alike)
     size = np.array([len(p) for p in pieces])
     first = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
     owner = np.repeat(np.arange(len(pieces)), size + 1)
@@ -334,7 +332,7 @@ def repeated(pieces: list[bytes], length: int = LENGTH) -> list[int]:
     order = order[whole[order]]
     if len(order) < 2:
         return [0] * len(pieces)
-    twin = equal_neighbours(buf, order[:-1], order[1:], length)
+    twin = equal_neighbours(buf, order[:-1], order[1:], length, alike)
     hit = np.zeros(len(buf), bool)
     hit[order[:-1][twin]] = True
     hit[order[1:][twin]] = True
