@@ -6,18 +6,21 @@ one of MIN_CHARS or more lies within as many insertions, deletions and substitut
 allows: one below 64 characters, two below 128, three below 256, four above, and never more than ``edits``. The
 earlier line need not be kept itself.
 
-1. Equal lines are one; only its first occurrence goes on.
+1. Equal lines are one; only its first occurrence goes on, under a number of its own.
 2. A line is cut into one piece more than it has edits. Without the pieces that the edits touch, two lines within
    the bound are equal: one piece at least is left, and it stands at a place that differs by no more than the
    edits before it. Pieces are as long as the line's length class says, and are counted from the left in the left
    half and from the right in the right half, so that lengths within a class agree on them. Each line emits the
    hash of what is left, at each place it can have.
 3. Lines that meet are verified by their edit distance. Where more than CROWD lines meet, what they share is
-   taken out and the rest is cut again, as it lies within the same bound.
-
-DataFrame functions only. Rows: null and empty texts have no lines to compare; blank lines are always kept
-and may repeat. Rows that share a doc_id are told apart by a hash of their texts; rows that share the text too are
-one document, and each of them gets its result.
+   taken out and the rest is cut again, as it lies within the same bound. In crowds each line is tried with the
+   earliest line that it meets, then with the earliest one of each key, and only what is left with all others.
+
+Counts of keys are aggregated and joined back, so a key that very many lines share is not gathered. DataFrame functions
+only. Rows: null and empty texts have no lines to compare; blank lines are always kept and may repeat. Rows that share a
+doc_id, or have none, are told apart by a 128-bit print of their texts, which also is their order; rows that share the
+text too follow each other, and all but the first lose their lines. Very long texts and lines are compared whole. Other
+columns keep their values, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .tables import BLANKS, empty_safe_text, staged
+from .tables import BLANKS, discard, empty_safe_text, numbered, staged
 
 #: Lines with fewer characters are compared for equality only.
 MIN_CHARS = 32
@@ -44,10 +47,14 @@ def filled(line: Column) -> Column:
     return F.translate(line, BLANKS, "") != ""
 
 
+def print_of(docs: DataFrame) -> Column:
+    """A 128-bit print of the text."""
+    return F.unhex(F.md5(empty_safe_text(docs)))
+
+
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, tx, line_no, line of each line that is compared."""
-    text = empty_safe_text(docs)
-    each = docs.select("doc_id", F.hash(text).alias("tx"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
+    """doc_id, print, line_no, line of each line that is compared."""
+    each = docs.select("doc_id", print_of(docs).alias("print"), F.posexplode(F.split(empty_safe_text(docs), "\n", -1)).alias("line_no", "line"))
     return each.where(filled(F.col("line")))
 
 
@@ -98,82 +105,92 @@ def cut(edits: int, step: int, whole: bool = False) -> Column:
     return F.concat(own, F.coalesce(also, none))
 
 
-def distinct_lines(docs: DataFrame, edits: int) -> DataFrame:
-    """``at`` (doc_id, tx, line_no), length and keys of the first occurrence of each distinct line; short ones have no keys."""
-    keyed = measured(lines(docs), edits, STEP)
-    keyed = keyed.select(F.struct("doc_id", "tx", "line_no").alias("at"), F.unhex(F.md5("line")).alias("print"), F.col("__n").alias("n"), F.when(F.col("__n") >= MIN_CHARS, cut(edits, STEP)).alias("keys"))
-    by = keyed.groupBy("print").agg(F.min("at").alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    return by.select("at", "n", F.array_distinct("keys").alias("keys"))
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """no, ``at`` (doc_id, print, line_no) of the first occurrence, length n and line of each distinct line."""
+    by = lines(docs).groupBy("line").agg(F.min(F.struct("doc_id", "print", "line_no")).alias("at"))
+    return by.select(F.monotonically_increasing_id().alias("no"), "at", F.length("line").alias("n"), "line")
 
 
-def met(keyed: DataFrame) -> DataFrame:
-    """``keyed`` of those that share ``h`` with another, ``m``, how many do, and ``least``, the first of them."""
-    group = W.partitionBy("h")
-    return keyed.withColumns({"m": F.count(F.lit(1)).over(group), "least": F.min("at").over(group)}).where("m > 1")
+def met(keyed: DataFrame, *more: Column) -> DataFrame:
+    """``keyed`` of those that share ``h`` with another, ``m``, how many do, and ``more`` aggregates of ``h``."""
+    counts = keyed.groupBy(F.col("h").alias("h_")).agg(F.count(F.lit(1)).alias("m"), *more).where("m > 1")
+    return keyed.join(counts, F.col("h") == F.col("h_")).drop("h_")
 
 
-def meetings(later: DataFrame, keyed: DataFrame, edits: int) -> DataFrame:
-    """at, earlier of the lines of ``later`` and ``keyed`` that share a key and whose lengths are within the bound."""
-    counts = [c for c in keyed.columns if c.startswith("has_")]
-    a = later.select("at", "n", "h", *counts)
-    b = keyed.select(F.col("at").alias("earlier"), F.col("n").alias("n_"), F.col("h").alias("h_"), *[F.col(c).alias(f"{c}_") for c in counts])
-    meet = (F.col("h") == F.col("h_")) & (F.col("earlier") < F.col("at")) & (F.abs(F.col("n") - F.col("n_")) <= edits)
+def pairs_of(asking: DataFrame, all_: DataFrame, edits: int) -> DataFrame:
+    """no, other of lines that share a key and whose lengths and letters are within the bound."""
+    counts = [c for c in all_.columns if c.startswith("has_")]
+    a = asking.select("no", "n", "h", *counts)
+    b = all_.select(F.col("no").alias("other"), F.col("n").alias("n_"), F.col("h").alias("h_"), *[F.col(c).alias(f"{c}_") for c in counts])
+    meet = (F.col("h") == F.col("h_")) & (F.col("no") != F.col("other")) & (F.abs(F.col("n") - F.col("n_")) <= edits)
     if counts:
         meet = meet & (sum((F.abs(F.col(c) - F.col(f"{c}_")) for c in counts), F.lit(0)) <= 2 * edits)
-    return a.join(b, meet).select("at", "earlier")
-
-
-def neighbours(docs: DataFrame, first: DataFrame, edits: int) -> DataFrame:
-    """``at`` of the first occurrences that have an earlier line within the bound, and ``earlier``, that line's place."""
-    ends = staged(met(first.select("at", "n", F.explode("keys").alias("h"))).drop("least"), "line-ends")
-    wanted = ends.select("at").distinct().groupBy(F.col("at.doc_id").alias("d_"), F.col("at.tx").alias("x_")).agg(F.collect_list("at.line_no").alias("nos"))
-    text = empty_safe_text(docs)
-    found = docs.select("doc_id", F.hash(text).alias("tx"), text.alias("text")).join(wanted, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("tx") == F.col("x_"))).dropDuplicates(["doc_id", "tx"])
-    each = found.withColumn("__l", F.split("text", "\n", -1)).select("doc_id", "tx", "__l", F.explode("nos").alias("line_no"))
-    each = staged(each.select(F.struct("doc_id", "tx", "line_no").alias("at"), F.get("__l", F.col("line_no")).alias("line")), "line-candidates")
-    a = each.select(F.col("at").alias("a_"), F.col("line").alias("line_a"))
-    b = each.select(F.col("at").alias("b_"), F.col("line").alias("line_b"))
-    # Crowds: what is shared is taken out, and the rest is cut.
-    hot = ends.where(F.col("m") > CROWD).select("at", "n", "h").join(a, F.col("at") == F.col("a_"))
-    counts = [f"has_{c}" for c in LETTERS]
-    hot = hot.withColumns({f"has_{c}": F.length("line_a") - F.length(F.translate("line_a", c, "")) for c in LETTERS})
-    hot = measured(hot.select("at", "n", "h", *counts, F.col("line_a").alias("line")), edits, STEP)
-    hot = hot.select("at", "n", *counts, "line", F.explode(F.filter(cut(edits, STEP, whole=True), lambda x: x["h"] == F.col("h"))).alias("c"))
-    rest = F.concat(F.substring("line", F.lit(1), F.col("c.from") - 1), F.substring("line", F.col("c.from") + F.col("c.size"), F.col("n")))
-    hot = measured(hot.select("at", "n", *counts, "c", rest.alias("line")), edits, REST_STEP, F.col("c.k"))
-    hot = hot.select("at", "n", *counts, F.explode(F.array_distinct(F.transform(cut(edits, REST_STEP), lambda x: F.xxhash64(F.col("c.h"), x)))).alias("h")).dropDuplicates(["at", "h"])
-    hot = staged(met(hot), "line-crowds")
+    else:
+        meet = meet & (F.col("no") < F.col("other"))
+    return a.join(b, meet).select("no", "other").distinct()
+
+
+def neighbours(first: DataFrame, edits: int) -> DataFrame:
+    """``at`` of the first occurrences that have an earlier line within the bound, and ``earlier``, that line's place.
+
+    first: ``distinct_lines``, staged.
+    """
+    keyed = measured(first.where(F.col("n") >= MIN_CHARS).select("no", "n", "line"), edits, STEP)
+    keyed = staged(keyed.select("no", "n", F.explode(F.array_distinct(cut(edits, STEP))).alias("h")), "line-keys")
+    ends = staged(met(keyed), "line-ends")
+    discard(keyed)
+    a = first.select(F.col("no").alias("a_"), F.col("at").alias("at_a"), F.col("line").alias("line_a"))
+    b = first.select(F.col("no").alias("b_"), F.col("at").alias("at_b"), F.col("line").alias("line_b"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        near = pairs.distinct().join(a, F.col("at") == F.col("a_")).join(b, F.col("earlier") == F.col("b_"))
+        """no, at and earlier of the later one of each pair (no, other) within the bound."""
+        near = pairs.join(a, F.col("no") == F.col("a_")).join(b, F.col("other") == F.col("b_"))
         apart = F.levenshtein("line_a", "line_b", edits)
-        return near.where((apart >= 0) & (apart <= allowed(F.least(F.length("line_a"), F.length("line_b")), edits))).select("at", "earlier")
+        near = near.where((apart >= 0) & (apart <= allowed(F.least(F.length("line_a"), F.length("line_b")), edits)))
+        later = F.col("at_a") > F.col("at_b")
+        return near.select(F.when(later, F.col("no")).otherwise(F.col("other")).alias("no"), F.greatest("at_a", "at_b").alias("at"), F.least("at_a", "at_b").alias("earlier"))
 
-    # One earlier line is enough: in crowds the earliest is tried first, and only lines that it leaves open meet the others.
-    by_first = hot.where((F.col("m") > CROWD) & (F.col("least") < F.col("at"))).select("at", F.col("least").alias("earlier"))
-    sure = staged(verified(by_first), "line-sure")
-    open_ = hot.join(sure.select(F.col("at").alias("s_")).distinct(), F.col("at") == F.col("s_"), "left_anti")
+    # Crowds: what is shared is taken out, and the rest is cut.
+    hot = ends.where(F.col("m") > CROWD).select("no", "h").join(first.withColumnRenamed("no", "f_"), F.col("no") == F.col("f_")).drop("f_")
+    counts = [f"has_{c}" for c in LETTERS]
+    hot = hot.withColumns({f"has_{c}": F.length("line") - F.length(F.translate("line", c, "")) for c in LETTERS})
+    hot = measured(hot, edits, STEP)
+    hot = hot.select("no", "at", "n", *counts, "line", F.explode(F.filter(cut(edits, STEP, whole=True), lambda x: x["h"] == F.col("h"))).alias("c"))
+    rest = F.concat(F.substring("line", F.lit(1), F.col("c.from") - 1), F.substring("line", F.col("c.from") + F.col("c.size"), F.col("n")))
+    hot = measured(hot.select("no", "at", "n", *counts, "c", rest.alias("line")), edits, REST_STEP, F.col("c.k"))
+    hot = hot.select("no", "at", "n", *counts, F.explode(F.array_distinct(F.transform(cut(edits, REST_STEP), lambda x: F.xxhash64(F.col("c.h"), x)))).alias("h"))
+    hot = staged(hot.dropDuplicates(["no", "h"]), "line-rests")
+    hot = staged(met(hot, F.min(F.struct("at", F.col("no").alias("least"))).alias("first")), "line-crowds")
+    large = hot.where(F.col("m") > CROWD)
+    tried = large.groupBy("no").agg(F.min("first").alias("first")).select("no", F.col("first.least").alias("other")).where("no <> other")
+    sure = staged(verified(tried), "line-sure")
+    left = large.join(sure.select(F.col("no").alias("s_")).distinct(), F.col("no") == F.col("s_"), "left_anti")
+    by_first = left.select("no", F.col("first.least").alias("other")).where("no <> other").distinct()
+    also = staged(verified(by_first), "line-also")
+    decided = sure.unionByName(also)
+    open_ = hot.join(decided.select(F.col("no").alias("s_")).distinct(), F.col("no") == F.col("s_"), "left_anti")
     few = ends.where(F.col("m") <= CROWD)
-    pairs = meetings(few, few, edits).unionByName(meetings(open_, hot, edits))
-    return verified(pairs).unionByName(sure).groupBy("at").agg(F.min("earlier").alias("earlier"))
+    found = verified(pairs_of(few, few, edits)).unionByName(verified(pairs_of(open_, hot, edits))).unionByName(decided)
+    return found.groupBy("no").agg(F.min("at").alias("at"), F.min("earlier").alias("earlier")).select("at", "earlier")
 
 
 def decisions(docs: DataFrame, edits: int) -> tuple[DataFrame, DataFrame]:
     """First occurrences (at), and those of them that go (at, earlier)."""
-    first = staged(distinct_lines(docs, edits), "line-first")
-    return first, staged(neighbours(docs, first, edits), "line-near")
+    first = staged(distinct_lines(docs), "line-first")
+    return first.select("at"), staged(neighbours(first, edits), "line-near")
 
 
 def counted(docs: DataFrame, edits: int = 1) -> DataFrame:
     """doc_id, n_lines (all lines), n_compared, n_equal and n_near (lines that go) and n_kept of every row of ``docs``."""
-    text = empty_safe_text(docs)
-    split = F.split(text, "\n", -1)
-    base = docs.select("doc_id", F.hash(text).alias("tx"), F.size(split).cast("long").alias("n_lines"), F.size(F.filter(split, filled)).cast("long").alias("n_compared"))
+    split = F.split(empty_safe_text(docs), "\n", -1)
+    base = docs.select("doc_id", print_of(docs).alias("print"), F.size(split).cast("long").alias("n_lines"), F.size(F.filter(split, filled)).cast("long").alias("n_compared"))
+    base = numbered(base, ["doc_id", "print", "n_lines", "n_compared"])
     first, near = decisions(docs, edits)
     each = first.select("at", F.lit(1).alias("one"), F.lit(0).alias("near")).unionByName(near.select("at", F.lit(0).alias("one"), F.lit(1).alias("near")))
-    by = each.groupBy(F.col("at.doc_id").alias("d_"), F.col("at.tx").alias("x_")).agg(F.sum("one").alias("firsts"), F.sum("near").alias("n_near"))
-    out = base.join(by, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("tx") == F.col("x_")), "left")
-    out = out.withColumns({"n_near": F.coalesce("n_near", F.lit(0)).cast("long"), "n_equal": (F.col("n_compared") - F.coalesce("firsts", F.lit(0))).cast("long")})
+    by = each.groupBy(F.col("at.doc_id").alias("d_"), F.col("at.print").alias("p_")).agg(F.sum("one").alias("firsts"), F.sum("near").alias("near"))
+    out = base.join(by, F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("print") == F.col("p_")), "left")
+    own = lambda c: F.when(F.col("copy") == 0, F.coalesce(c, F.lit(0))).otherwise(0)
+    out = out.withColumns({"n_near": own("near").cast("long"), "n_equal": (F.col("n_compared") - own("firsts")).cast("long")})
     return out.select("doc_id", "n_lines", "n_compared", "n_equal", "n_near", (F.col("n_lines") - F.col("n_equal") - F.col("n_near")).alias("n_kept"))
 
 
@@ -181,9 +198,10 @@ def cleaned(docs: DataFrame, edits: int = 1) -> DataFrame:
     """``docs`` with the lines that go taken out of the text; all other columns as they were. A null text stays null."""
     first, near = decisions(docs, edits)
     kept = first.join(near.select(F.col("at").alias("n_")), F.col("at") == F.col("n_"), "left_anti")
-    kept = kept.groupBy(F.col("at.doc_id").alias("__d"), F.col("at.tx").alias("__x")).agg(F.collect_list("at.line_no").alias("__nos"))
-    keyed = docs.withColumn("__tx", F.hash(empty_safe_text(docs)))
-    joined = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__tx") == F.col("__x")), "left")
-    nos = F.coalesce("__nos", F.array().cast("array<int>"))
+    kept = kept.groupBy(F.col("at.doc_id").alias("__d"), F.col("at.print").alias("__p")).agg(F.collect_list("at.line_no").alias("__nos"))
+    keyed = docs.withColumn("__print", print_of(docs))
+    keyed = keyed.withColumn("__copy", F.row_number().over(W.partitionBy("doc_id", "__print").orderBy("__print")))
+    joined = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__print") == F.col("__p")), "left")
+    nos = F.when(F.col("__copy") == 1, F.coalesce("__nos", F.array().cast("array<int>"))).otherwise(F.array().cast("array<int>"))
     left = F.filter(F.split("text", "\n", -1), lambda x, i: ~filled(x) | F.array_contains(nos, i))
     return joined.withColumn("text", F.array_join(left, "\n")).select(*docs.columns)
