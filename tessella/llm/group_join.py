@@ -18,7 +18,8 @@ Every pair that shares a posted token is thus verified, bounded away, or already
 within a group are made. Similarities are exact but for equal 64-bit hashes of different shingles.
 
 Rows: null and empty texts and texts without words have no shingles and no links. Rows that share a
-doc_id count as one document. A null doc_id is linked with nothing.
+doc_id count as one document, and so do repeated rows. A null doc_id is linked with nothing. Very long texts are read in
+blocks and compared whole. Other columns of the input, whatever their names, are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ SHINGLE = 5
 PERCENT = 80
 #: Tokens that stretches of CHUNK tokens hold more than once, OFTEN times or more in all such stretches, are put last; at most FREQUENT of them.
 CHUNK, OFTEN, FREQUENT = 1 << 20, 12, 1 << 20
-GROUP = 256
+GROUP, GROUP_TOKENS, SALTS = 256, 1 << 20, 64
 
 
 def need(n: np.ndarray | int) -> np.ndarray | int:
@@ -198,13 +199,21 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
     placed = placed.select("doc_id", "n", "token", F.coalesce("root", "doc_id").alias("root"), F.coalesce("root", "near", "doc_id").alias("gid"))
     mixed = placed.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select(F.col("token").alias("t_"))
     placed = staged(placed.join(mixed, F.col("token") == F.col("t_")).drop("t_"), "join-mixed")
-    sizes = placed.select("doc_id", "gid").distinct().groupBy(F.col("gid").alias("g_")).agg(F.count(F.lit(1)).alias("members"))
-    placed = placed.join(sizes, F.col("gid") == F.col("g_"))
-    placed = staged(placed.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / GROUP))).drop("g_"), "join-placed")
-    matrix = placed.groupBy("token", "gid", "part").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("root").alias("r0"), F.when(F.max("members") == 1, F.max("doc_id")).alias("only"))
+    # Groups of more members or tokens than one part takes are few; their rows are salted, so that no task gets a group.
+    sizes = placed.select("doc_id", "n", "gid").distinct().groupBy(F.col("gid").alias("g_")).agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("tokens"))
+    sizes = sizes.withColumn("parts", F.ceil(F.greatest(F.col("members") / GROUP, F.col("tokens") / GROUP_TOKENS))).where("parts > 1")
+    sizes = sizes.select("g_", "parts", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_"))
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64("doc_id", "token"), F.lit(SALTS)).cast("int"))
+    placed = placed.join(sizes, (F.col("gid") == F.col("g_")) & (F.col("salt") == F.col("salt_")), "left")
+    placed = staged(placed.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.coalesce("parts", F.lit(1)))).drop("g_", "salt", "salt_", "parts"), "join-placed")
+    one = F.when(F.min("doc_id") == F.max("doc_id"), F.max("doc_id"))
+    matrix = placed.groupBy("token", "gid", "part").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.min("root").alias("r0"), one.alias("only"))
+    alone = placed.groupBy(F.col("gid").alias("g_"), F.col("part").alias("p_")).agg((F.min("doc_id") == F.max("doc_id")).alias("alone"))
     q = placed.select(F.col("token").alias("t_"), F.col("root").alias("own"), F.col("doc_id").alias("q"), "n")
     ask = q.join(matrix, (F.col("t_") == F.col("token")) & (F.col("own") > F.col("r0"))).where("5 * n >= 4 * n0 and 4 * n <= 5 * n1")
     ask = ask.select("q", "gid", "part", "only").distinct()
+    # What is known of a pair counts for its group only where the group has one member.
+    ask = ask.join(alone, (F.col("gid") == F.col("g_")) & (F.col("part") == F.col("p_"))).select("q", "gid", "part", F.when(F.col("alone"), F.col("only")).alias("only")).distinct()
     known = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).select(F.col("u").alias("q_"), F.col("v").alias("only_"))
     ask = staged(ask.join(known, (F.col("q") == F.col("q_")) & (F.col("only") == F.col("only_")), "left_anti").select("q", "gid", "part"), "join-asked")
     asked = ask.select(F.col("gid").alias("g_"), F.col("part").alias("p_")).distinct()
@@ -221,6 +230,7 @@ def links(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of every row of ``docs``."""
+    docs = docs.select("doc_id", "text")
     rows = staged(described(docs), "join-rows")
     every = staged(rows.select("doc_id", "n_shingles"), "join-sizes")
     found = components(links(docs, rows))
