@@ -1,120 +1,145 @@
-"""Benchmark decontamination: a broadcast set of the benchmark's n-grams, and one scan of the documents.
+"""Benchmark decontamination: a broadcast set of the benchmark's n-grams, and a scan of the documents.
 
-An item's windows are its runs of ``WINDOW`` words; an item of fewer words is one window. The windows'
-hashes are broadcast, in blocks of at most ``LIMIT`` windows, whose number follows the benchmark's checked
-size; the scan passes each document through all blocks in one stage. A hash that is found is verified
+An item's windows are its runs of ``WINDOW`` words; an item of fewer words is one window. Windows are counted, and the
+benchmark is dealt into blocks of at most ``LIMIT`` windows (one item may be more). A block is broadcast as sorted
+arrays of hashes, items and places, and the documents are scanned; where there are several blocks, one after the
+other is sent, scanned with and dropped, so that a worker never holds more than one. A hash that is found is verified
 against the item's words.
 
-Rows: null text has no words and is never contaminated. An item without words has no window. Items that
-repeat are all reported; a null item_id is never reported but its windows hit. An empty benchmark hits
-nothing.
+Rows: null and empty texts have no words and are never contaminated. An item without words has no window. Items that
+repeat are all reported; a null item_id is never reported but its windows hit. An empty benchmark hits nothing, and
+an empty table gives no rows. Very long texts are read in blocks. Rows that repeat, or share a doc_id, are judged one
+by one. Other columns keep their values, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import small_batches
+from .tables import discard, small_batches, staged
 from .words import ALNUM, as_bytes, windows, words
 
 WINDOW = 13
 #: A document with hits is contaminated if at least one word in RATIO is hit.
 RATIO = 20
-#: Windows in one broadcast block: about 16 MB of hashes, and the items' words.
+#: Windows in one broadcast block: 24 bytes each, and the items' words.
 LIMIT = 1 << 20
 _BITS = 20
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 class Block:
-    """The windows of some items: sorted hashes, and for each the words and the items that have them."""
+    """The windows of some items: sorted hashes, and for each the item and where its words are; words by one blank each."""
 
     def __init__(self, items: list[tuple[str | None, bytes]]) -> None:
-        found: dict[int, dict[int, dict[tuple[bytes, ...], set[str | None]]]] = {}
+        self.names = [i for i, _ in items]
         texts = [t for _, t in items]
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        parts, at = [], 0
         for k, w in words(texts, ALNUM, places=True):
             for j in range(len(w.first) - 1):
                 a, b = w.first[j], w.first[j + 1]
                 if a == b:
                     continue
                 text = texts[k + j].translate(_FOLD)
-                each = [text[s:e] for s, e in zip(w.starts[a:b], w.ends[a:b], strict=True)]
-                size = min(WINDOW, len(each))
-                for i, h in enumerate(windows(w.hashes[a:b], size).tolist()):
-                    found.setdefault(size, {}).setdefault(h, {}).setdefault(tuple(each[i : i + size]), set()).add(items[k + j][0])
+                parts.append(b" ".join(text[s:e] for s, e in zip(w.starts[a:b], w.ends[a:b], strict=True)))
+                size = int(min(WINDOW, b - a))
+                length = w.ends[a:b] - w.starts[a:b]
+                ends = at + np.cumsum(length + 1) - 1
+                n = int(b - a) - size + 1
+                found.setdefault(size, []).append((windows(w.hashes[a:b], size), np.full(n, k + j, np.int32), (ends - length)[:n], ends[size - 1 :]))
+                at = int(ends[-1]) + 1
+        self.text = b" ".join(parts)
         self.sizes = {}
-        for size, by in found.items():
-            hashes = np.array(sorted(by), np.uint64)
+        for size, rows in found.items():
+            hashes, item, start, end = (np.concatenate(c) for c in zip(*rows, strict=True))
+            order = np.argsort(hashes, kind="stable")
             maybe = np.zeros(1 << _BITS, bool)
             maybe[(hashes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-            self.sizes[size] = (hashes, maybe, by)
+            self.sizes[size] = (hashes[order], maybe, item[order], start[order], end[order])
 
-    def hits(self, hashes: np.ndarray, each: "list[bytes] | callable") -> Iterator[tuple[int, int, set[str | None]]]:
-        """(first word, number of words, items) of every window of the document that an item has."""
-        for size, (known, maybe, by) in self.sizes.items():
+    def hits(self, hashes: np.ndarray, each: Callable[[int, int], bytes]) -> Iterator[tuple[int, int, set[str | None]]]:
+        """(first word, number of words, items) of every window of the document that an item has. each: a window's words."""
+        for size, (known, maybe, item, start, end) in self.sizes.items():
             h = windows(hashes, size)
             at = np.flatnonzero(maybe[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
-            if not len(at):
-                continue
-            place = np.minimum(np.searchsorted(known, h[at]), len(known) - 1)
-            for i in at[known[place] == h[at]].tolist():
-                if items := by[int(h[i])].get(each(i, size)):
+            first, last = np.searchsorted(known, h[at]), np.searchsorted(known, h[at], side="right")
+            for i, a, b in zip(at[first < last].tolist(), first[first < last].tolist(), last[first < last].tolist(), strict=True):
+                mine = each(i, size)
+                if items := {self.names[item[x]] for x in range(a, b) if self.text[start[x] : end[x]] == mine}:
                     yield i, size, items
 
 
 def blocks(benchmark: DataFrame, limit: int = LIMIT) -> Iterator[list[tuple[str | None, bytes]]]:
-    """Items of at most ``limit`` windows each time, fetched a partition at a time."""
+    """Items of at most ``limit`` windows each time, or one item; fetched a partition at a time."""
     items, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce("text", F.lit("")).alias("t")).toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).toLocalIterator():
         text = row["t"].encode()
-        items.append((row["i"], text))
-        size += text.count(b" ") + 1
-        if size >= limit:
+        n = sum(len(w.hashes) for _, w in words([text], ALNUM))
+        n = max(n - WINDOW + 1, int(n > 0))
+        if items and size + n > limit:
             yield items
             items, size = [], 0
+        if n:
+            items.append((row["i"], text))
+            size += n
     if items:
         yield items
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """``docs`` with ``n_words``, ``hit`` (first word and number of words, alternating) and ``items`` (sorted ids)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    sent = [spark.sparkContext.broadcast(Block(b)) for b in blocks(benchmark, limit)]
+def scanned(docs: DataFrame, block: Block | None, further: bool) -> DataFrame:
+    """``docs`` with ``n_words``, ``hit`` and ``items``; further: it has them from other blocks, and they are added to."""
+    sent = docs.sparkSession.sparkContext.broadcast(block)
     out = pa.schema([("n_words", pa.int64()), ("hit", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = as_bytes(batch.column("text"))
-            n_words, hit, items = [], [], []
+            n_words: list[int] = []
+            hit = batch.column("hit").to_pylist() if further else [[] for _ in texts]
+            items = batch.column("items").to_pylist() if further else [[] for _ in texts]
             for k, w in words(texts, ALNUM, places=True):
                 for j in range(len(w.first) - 1):
                     a, b = int(w.first[j]), int(w.first[j + 1])
+                    n_words.append(b - a)
+                    if sent.value is None:
+                        continue
                     text, starts, ends = texts[k + j], w.starts[a:b], w.ends[a:b]
 
-                    def each(i: int, size: int, text: bytes = text, starts: np.ndarray = starts, ends: np.ndarray = ends) -> tuple[bytes, ...]:
-                        return tuple(text[starts[x] : ends[x]].translate(_FOLD) for x in range(i, i + size))
+                    def each(i: int, size: int, text: bytes = text, starts: np.ndarray = starts, ends: np.ndarray = ends) -> bytes:
+                        return b" ".join(text[starts[x] : ends[x]] for x in range(i, i + size)).translate(_FOLD)
 
-                    mine, names = [], set()
-                    for block in sent:
-                        for i, size, found in block.value.hits(w.hashes[a:b], each):
-                            mine += (i, size)
-                            names |= found
-                    n_words.append(b - a)
-                    hit.append(mine)
-                    items.append(sorted(x for x in names if x is not None))
+                    names = set()
+                    for i, size, found in sent.value.hits(w.hashes[a:b], each):
+                        hit[k + j] += (i, size)
+                        names |= found
+                    if names:
+                        items[k + j] = sorted({*items[k + j], *(x for x in names if x is not None)})
+            kept = [n for n in batch.schema.names if not (further and n in out.names)]
             extra = [pa.array(x, f.type) for x, f in zip((n_words, hit, items), out, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *out.names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), *extra], names=[*kept, *out.names])
 
-    added = "n_words bigint, hit array<bigint>, items array<string>"
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, {added}")
+    kept = [f for f in docs.schema if not (further and f.name in out.names)]
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in kept)
+    return docs.mapInArrow(run, kinds + "n_words bigint, hit array<bigint>, items array<string>")
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """``docs`` with ``n_words``, ``hit`` (first word and number of words, alternating) and ``items`` (sorted ids)."""
+    small_batches(docs.sparkSession)
+    found, waiting = None, None
+    for items in blocks(benchmark, limit):
+        if waiting is not None:
+            before, found = found, staged(scanned(docs if found is None else found, waiting, found is not None), "decontaminated")
+            if before is not None:
+                discard(before)
+        waiting = Block(items)
+    return scanned(docs if found is None else found, waiting, found is not None)
 
 
 def covered(hit: list[int]) -> list[tuple[int, int]]:
