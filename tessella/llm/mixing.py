@@ -8,7 +8,9 @@ side by side; each leaves at most one fraction, and the fractions left over meet
 DataFrame functions only.
 
 Rows: null text has size 0 and is never counted towards a target. Rows that agree in doc_id, source and
-size are told apart by a running number. Null sources form one source, the last.
+size are told apart by a running number, in the order of their texts' prints where the texts themselves are returned.
+Null sources form one source, the last. Very long texts count like others. Other columns of the input, whatever their
+names, take no part. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -127,7 +129,7 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     keyed = docs.withColumn("__words", word_count(empty_safe_text(docs))).withColumn("__key", F.xxhash64("doc_id", "source", "__words"))
     same = (F.col("__key") == F.col("__key_")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size"))
     # Rows that agree share their copies evenly; the first of them take what does not divide.
-    place = F.row_number().over(W.partitionBy("__key", "__doc_id", "__source", "__size").orderBy("__key"))
+    place = F.row_number().over(W.partitionBy("__key", "__doc_id", "__source", "__size").orderBy(F.md5(F.coalesce(keyed["text"].cast("string"), F.lit("")))))
     times = F.floor(F.col("__total") / F.col("__rows")) + F.when(place <= F.col("__total") % F.col("__rows"), 1).otherwise(0)
     joined = keyed.join(got, same).withColumn("__times", times.cast("int")).where("__times > 0")
     return joined.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

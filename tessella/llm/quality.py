@@ -6,7 +6,8 @@ the partitioning, and the sketch of a language is the sum of its sources' sketch
 functions only.
 
 Rows: null text counts as empty. Null language and null source are groups of their own. Repeated rows
-are judged alike and all returned. Other columns of the input are ignored by the measures.
+are judged alike and all returned. Very long texts are measured whole. Other columns of the input, whatever their
+names, are ignored by the measures.
 """
 
 from __future__ import annotations
@@ -145,12 +146,12 @@ def quality_rules(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """
     keep = keep or ["doc_id", "lang", "source"]
     rows = staged(measures(docs, keep).withColumns(ratios()), "quality")
-    limits = thresholds(sketches(rows, ["lang", "source"])).withColumnsRenamed({"lang": "lang_", "source": "source_"})
+    limits = thresholds(sketches(rows, ["lang", "source"])).withColumnsRenamed({"lang": "__of_lang", "source": "__of_source"})
     inside = F.lit(True)
     for f in FENCES:
         inside = inside & (F.col(f.measure) >= F.col(f"{f.measure}_lo")) & (F.col(f.measure) <= F.col(f"{f.measure}_hi"))
-    joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_")))
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("lang_", "source_")
+    joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("__of_lang")) & F.col("source").eqNullSafe(F.col("__of_source")))
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("__of_lang", "__of_source")
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
@@ -162,6 +163,8 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     print_ = F.xxhash64(empty_safe_text(docs))
     keyed = docs.withColumn("__print", print_)
     judged = quality_rules(keyed, ["doc_id", "lang", "source", "__print"]).where("kept")
-    judged = judged.select(*[F.col(c).alias(f"{c}_") for c in ("doc_id", "lang", "source", "__print")]).distinct()
-    same = (F.col("__print") == F.col("__print_")) & F.col("doc_id").eqNullSafe(F.col("doc_id_")) & F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_"))
+    judged = judged.select(*[F.col(c).alias(f"__kept_{c}") for c in ("doc_id", "lang", "source", "__print")]).distinct()
+    same = F.col("__print") == F.col("__kept___print")
+    for c in ("doc_id", "lang", "source"):
+        same = same & F.col(c).eqNullSafe(F.col(f"__kept_{c}"))
     return keyed.join(judged, same, "left_semi").select(*docs.columns)

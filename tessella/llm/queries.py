@@ -32,7 +32,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.copies(table(spark, sf_dir, "documents"))
-    return got.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    return got.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "source")
 
 
 def op6_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ shards * 2 ** STEP counts.
 
 Ties: every coordinate is followed by hash bits of the row, so that documents that agree in a dimension
 can be split anywhere. Rows that agree in doc_id, text and metadata are told apart by a running number.
-Null text has no bytes; null source, language and doc_id are values of their own.
+Null text has no bytes; null source, language and doc_id are values of their own. Very long texts and empty ones are
+rows like others. Other columns of the input, whatever their names, take no part. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,13 +33,18 @@ CLOSE = 0.0005
 RUN = 50_000
 
 
-def narrow(docs: DataFrame) -> DataFrame:
-    """doc_id, text_crc32, size, copy and the four coordinates of every row."""
+def coordinates(docs: DataFrame) -> DataFrame:
+    """``docs`` with text_crc32, size, d_source and d_lang of every row, in place of columns of these names."""
     has = set(docs.columns)
     col = lambda c: F.col(c).cast("string") if c in has else F.lit(None).cast("string")
     t = empty_safe_text(docs)
     code = lambda c: F.coalesce(F.crc32(col(c).cast("binary")).cast("long") / 2, F.lit(0)).cast("long")
-    rows = docs.select("doc_id", F.crc32(t.cast("binary")).cast("long").alias("text_crc32"), (F.octet_length(t) + EXTRA_BYTES).cast("long").alias("size"), code("source").alias("d_source"), code("lang").alias("d_lang"))
+    return docs.withColumns({"text_crc32": F.crc32(t.cast("binary")).cast("long"), "size": (F.octet_length(t) + EXTRA_BYTES).cast("long"), "d_source": code("source"), "d_lang": code("lang")})
+
+
+def narrow(docs: DataFrame) -> DataFrame:
+    """doc_id, text_crc32, size, copy and the four coordinates of every row."""
+    rows = coordinates(docs).select("doc_id", "text_crc32", "size", "d_source", "d_lang")
     rows = staged(numbered(rows, ["doc_id", "text_crc32", "size", "d_source", "d_lang"]), "shard-rows")
     low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first() if rows.schema["doc_id"].dataType.typeName() in ("long", "integer", "short") else (None, None)
     if low is None or high == low:
@@ -46,7 +52,7 @@ def narrow(docs: DataFrame) -> DataFrame:
     else:
         place = F.coalesce(((F.col("doc_id") - low) / F.lit(float(high - low)) * float((1 << VALUE) - 1)).cast("long"), F.lit(0).cast("long"))
     values = {"x_size": F.least(F.col("size"), F.lit((1 << VALUE) - 1)), "x_order": place, "x_source": F.col("d_source"), "x_lang": F.col("d_lang")}
-    tie = lambda k: F.pmod(F.xxhash64(F.lit(k), "doc_id", "text_crc32", "copy"), F.lit(1 << TIE))
+    tie = lambda k: F.pmod(F.xxhash64(F.lit(k), "doc_id", "text_crc32", "d_source", "d_lang", "copy"), F.lit(1 << TIE))
     return rows.select("doc_id", "text_crc32", "size", "copy", *[(F.shiftleft(values[d].cast("long"), TIE) + tie(k)).alias(d) for k, d in enumerate(DIMENSIONS)])
 
 
@@ -102,20 +108,37 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             break
         nodes = {n: k for node, size in nodes.items() for n, k in ([(node, size // 2), (node + size // 2, size - size // 2)] if node in level else [(node, 1)])}
         here = staged(here.withColumn("node", chosen(F.col("node"), {k: F.when(F.col(d) >= at, right).otherwise(k) for k, (d, at, right) in level.items()}, F.col("node"))), "shard-level")
-    return here.select("doc_id", "text_crc32", "size", "copy", F.col("node").cast("int").alias("shard"))
+    own = [F.shiftright(d, TIE).alias(d) for d in ("x_source", "x_lang")]
+    return here.select("doc_id", "text_crc32", "size", *own, "copy", F.col("node").cast("int").alias("shard"))
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
     """``slot``: 0, 1, ... in each shard. Shards are numbered in hashed runs, side by side."""
     n = rows.count()
-    rows = rows.withColumn("__run", F.pmod(F.xxhash64("doc_id", "text_crc32", "copy"), F.lit(max(1, -(-n // RUN)) if n > RUN else 16)))
+    rows = rows.withColumn("__run", F.pmod(F.xxhash64("doc_id", "text_crc32", "x_source", "x_lang", "copy"), F.lit(max(1, -(-n // RUN)) if n > RUN else 16)))
     counts = rows.groupBy("shard", "__run").agg(F.count(F.lit(1)).alias("__n"))
     first = counts.select(F.col("shard").alias("__s"), F.col("__run").alias("__r"), (F.sum("__n").over(W.partitionBy("shard").orderBy("__run").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).alias("__first"))
-    place = F.row_number().over(W.partitionBy("shard", "__run").orderBy("doc_id", "text_crc32", "copy")) - 1
+    place = F.row_number().over(W.partitionBy("shard", "__run").orderBy("doc_id", "text_crc32", "x_source", "x_lang", "copy")) - 1
     rows = rows.withColumn("__place", place).join(first, (F.col("shard") == F.col("__s")) & (F.col("__run") == F.col("__r")))
     return rows.withColumn("slot", (F.col("__first") + F.col("__place")).cast("long")).drop("__run", "__s", "__r", "__first", "__place")
 
 
 def shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, copy, shard and slot for every row of ``docs``."""
-    return with_slots(staged(shard_rows(docs, shards), "shard-rows"))
+    return with_slots(staged(shard_rows(docs, shards), "shard-rows")).drop("x_source", "x_lang")
+
+
+def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """``docs`` with ``shard`` and ``slot``, in place of columns of these names if there are any."""
+    docs = docs.drop("shard", "slot")
+    names = ["doc_id", "text_crc32", "size", "x_source", "x_lang", "copy"]
+    own = coordinates(docs).withColumnsRenamed({"d_source": "x_source", "d_lang": "x_lang"})
+    own = own.select(*[F.col(c).alias(f"__own_{c}") for c in names[:-1]], F.struct(*docs.columns).alias("__row"))
+    # Rows that agree in all of this are interchangeable, but for columns that sharding doesn't see.
+    place = F.row_number().over(W.partitionBy(*[f"__own_{c}" for c in names[:-1]]).orderBy("__own_text_crc32")) - 1
+    own = own.withColumn("__own_copy", place)
+    placed = with_slots(staged(shard_rows(docs, shards), "shard-rows")).select(*names, "shard", "slot")
+    same = F.lit(True)
+    for c in names:
+        same = same & (F.col(f"__own_{c}").eqNullSafe(F.col(c)) if c == "doc_id" else F.col(f"__own_{c}") == F.col(c))
+    return own.join(placed, same).select("__row.*", "shard", "slot")

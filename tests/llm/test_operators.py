@@ -17,12 +17,12 @@ from tessella.llm import components, decontam, group_join, html_tree, licenses,
 
 TEXTS = brute.corpus()
 ROWS = list(enumerate(TEXTS))
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, token string, run string, h string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, token string, run string, h string, id long, doc_id_ long, lang_ string, source_ string, shard int"
 
 
 def frame(spark, rows):
     """Rows of (doc_id, text) with columns whose names the operators use inside."""
-    out = [(i, t, None if i is not None and i % 5 == 0 else "en", None if i is not None and i % 4 == 0 else f"s{(i or 0) % 3}", 1, 2, "t", "r", "h") for i, t in rows]
+    out = [(i, t, None if i is not None and i % 5 == 0 else "en", None if i is not None and i % 4 == 0 else f"s{(i or 0) % 3}", 1, 2, "t", "r", "h", 7, 8, "l", "s", 9) for i, t in rows]
     return spark.createDataFrame(out, SCHEMA)
 
 
@@ -179,6 +179,17 @@ def test_shards_balance_and_slots_have_no_gaps(spark):
     assert len(got) == len(rows) and sorted(load) == list(range(24)) and max(load.values()) - min(load.values()) <= 2 * 908
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert sum(load.values()) == sum(len(t or "") + 8 for _, t in rows)
+    whole = sharding.sharded(frame(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in whole) == Counter(rows) and {(r["shard"], r["slot"]) for r in whole} == {(r["shard"], r["slot"]) for r in got}
+
+
+def test_decontamination_block_is_small():
+    r = random.Random(3)
+    items = [(k, " ".join(f"w{r.randrange(10**6)}" for _ in range(200)).encode()) for k in range(500)]
+    tracemalloc.start()
+    block = decontam.Block(items)
+    assert sum(len(x[0]) for x in block.sizes.values()) == 500 * 188 and tracemalloc.get_traced_memory()[0] < 60 * 500 * 188
+    tracemalloc.stop()
 
 
 def test_line_dedup(spark, docs):
@@ -188,6 +199,10 @@ def test_line_dedup(spark, docs):
     assert cleaned[0] is None and cleaned[8] == TEXTS[8]
     rest = line_dedup.counted(line_dedup.cleaned(docs)).agg(F.sum("n_equal")).first()[0]
     assert rest == 0
+    same = frame(spark, [(1, TEXTS[8]), (1, TEXTS[8]), (2, TEXTS[8]), (None, TEXTS[8]), (None, "other")])
+    kept = [r["text"] for r in line_dedup.cleaned(same).collect()]
+    assert Counter(kept) == Counter(["", "", "", TEXTS[8], "other"])
+    assert sum(r["n_kept"] for r in line_dedup.counted(same).collect()) == 2
 
 
 @pytest.mark.parametrize("crowd", [16, 2])
