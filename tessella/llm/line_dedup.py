@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .tables import BLANKS, discard, empty_safe_text, numbered, staged
+from .tables import discard, empty_safe_text, numbered, sent_if_small, staged
 
 #: Lines with fewer characters are compared for equality only.
 MIN_CHARS = 32
@@ -44,7 +44,7 @@ STEP, REST_STEP = 32, 16
 
 
 def filled(line: Column) -> Column:
-    return F.translate(line, BLANKS, "") != ""
+    return line.rlike(r"[^\x20\x09-\x0D]")
 
 
 def print_of(docs: DataFrame) -> Column:
@@ -106,9 +106,10 @@ def cut(edits: int, step: int, whole: bool = False) -> Column:
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
-    """no, ``at`` (doc_id, print, line_no) of the first occurrence, length n and line of each distinct line."""
-    by = lines(docs).groupBy("line").agg(F.min(F.struct("doc_id", "print", "line_no")).alias("at"))
-    return by.select(F.monotonically_increasing_id().alias("no"), "at", F.length("line").alias("n"), "line")
+    """no, ``at`` (doc_id, print, line_no) of the first occurrence, length n and line (of MIN_CHARS or more) of each distinct line."""
+    by = lines(docs).groupBy(F.unhex(F.md5("line")).alias("same")).agg(F.min(F.struct("doc_id", "print", "line_no")).alias("at"), F.first("line").alias("line"))
+    n = F.length("line")
+    return by.select(F.monotonically_increasing_id().alias("no"), "at", n.alias("n"), F.when(n >= MIN_CHARS, F.col("line")).alias("line"))
 
 
 def met(keyed: DataFrame, *more: Column) -> DataFrame:
@@ -139,6 +140,8 @@ def neighbours(first: DataFrame, edits: int) -> DataFrame:
     keyed = staged(keyed.select("no", "n", F.explode(F.array_distinct(cut(edits, STEP))).alias("h")), "line-keys")
     ends = staged(met(keyed), "line-ends")
     discard(keyed)
+    some = sent_if_small(staged(ends.select(F.col("no").alias("s_")).distinct(), "line-some"))
+    first = staged(first.join(some, F.col("no") == F.col("s_"), "left_semi"), "line-candidates")
     a = first.select(F.col("no").alias("a_"), F.col("at").alias("at_a"), F.col("line").alias("line_a"))
     b = first.select(F.col("no").alias("b_"), F.col("at").alias("at_b"), F.col("line").alias("line_b"))
 
@@ -170,7 +173,8 @@ def neighbours(first: DataFrame, edits: int) -> DataFrame:
     decided = sure.unionByName(also)
     open_ = hot.join(decided.select(F.col("no").alias("s_")).distinct(), F.col("no") == F.col("s_"), "left_anti")
     few = ends.where(F.col("m") <= CROWD)
-    found = verified(pairs_of(few, few, edits)).unionByName(verified(pairs_of(open_, hot, edits))).unionByName(decided)
+    decided = decided.unionByName(staged(verified(pairs_of(few, few, edits)), "line-few"))
+    found = decided.unionByName(verified(pairs_of(open_, hot, edits)))
     return found.groupBy("no").agg(F.min("at").alias("at"), F.min("earlier").alias("earlier")).select("at", "earlier")
 
 

@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space that separates words, and what a word is made of (fixed values of the contract).
+#: White space that separates words (fixed values of the contract).
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
 
@@ -57,6 +57,11 @@ def discard(table: DataFrame) -> None:
         files.delete(place, True)
 
 
+def sent_if_small(table: DataFrame, rows: int = 1 << 20) -> DataFrame:
+    """A staged table of a few narrow columns, to be broadcast if it has no more than ``rows`` rows; else it is dealt out."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def empty_safe_text(docs: DataFrame) -> Column:
     """The text column with null read as the empty string."""
     return F.coalesce(docs["text"].cast("string"), F.lit(""))
