@@ -11,7 +11,7 @@ import yaml
 from pyspark.sql import SparkSession
 
 from . import __version__
-from .errors import TessellaError
+from .errors import SpecError, TessellaError
 from .plans import authoring, chain, evidence, schemas
 from .plans.run import reconcile
 from .plans.spec import load_spec
@@ -47,6 +47,8 @@ def parser() -> argparse.ArgumentParser:
         for flag in ("--source-key", "--target-key", "--source-sheet", "--target-sheet"):
             one.add_argument(flag)
         one.add_argument("--delimiter", default=",")
+        one.add_argument("--interactive", action="store_true", help="ask for keys that can't be told")
+        one.add_argument("--force", action="store_true", help="overwrite files that are there")
         if name == "init":
             one.add_argument("--output", "-o", default="reconciliation.yaml")
         else:
@@ -86,8 +88,22 @@ def run_spec(path: str, a: argparse.Namespace) -> bool:
     return found["status"] == "passed"
 
 
-def first(a: argparse.Namespace, output: Path) -> list[str]:
-    spec, todo = authoring.first_spec(session(), a.source, a.target, a.source_key, a.target_key, a.delimiter, (a.source_sheet, a.target_sheet))
+def chosen(side: str, candidates: list[str]) -> str:
+    """Asks until one of the candidates is named by its number."""
+    if not candidates:
+        raise SpecError(f"the {side} has no column that is never blank and always different")
+    print(f"keys of the {side}:", *(f"{n}) {c}" for n, c in enumerate(candidates, 1)), sep="\n  ")
+    while True:
+        said = input(f"number of the {side}'s key: ").strip()
+        if said.isascii() and said.isdigit() and 1 <= int(said) <= len(candidates):
+            return candidates[int(said) - 1]
+
+
+def first(a: argparse.Namespace, output: Path, *others: Path) -> list[str]:
+    there = [str(p) for p in (output, *others) if p.exists()]
+    if there and not a.force:
+        raise SpecError(f"{', '.join(there)} would be overwritten; --force does it")
+    spec, todo = authoring.first_spec(session(), a.source, a.target, a.source_key, a.target_key, a.delimiter, (a.source_sheet, a.target_sheet), chosen if a.interactive else None)
     text = yaml.safe_dump(spec, sort_keys=False, allow_unicode=True)
     reports.write_text(output, text + "".join(f"# TODO: {t}\n" for t in todo))
     print(f"wrote {output}" + (f"; {len(todo)} to review" if todo else ""))
@@ -107,7 +123,7 @@ def command(a: argparse.Namespace) -> int:
         first(a, Path(a.output))
     elif a.command == "preflight":
         folder = Path(a.output_dir)
-        if first(a, folder / "reconciliation.yaml"):
+        if first(a, folder / "reconciliation.yaml", folder / "evidence.json", folder / "evidence.md"):
             print("review the specification, then run it")
             return 0
         a.evidence, a.report = folder / "evidence.json", folder / "evidence.md"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from decimal import Decimal
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -20,9 +21,20 @@ class Compared(NamedTuple):
 
 
 def within_percentage(source: Column, difference: Column, limit: object) -> Column:
-    """difference / |source| * 100 <= limit, by cross multiplication; a source of 0 allows no difference."""
-    exact = (difference.cast("decimal(24,10)") * 100).cast("decimal(28,10)") <= F.abs(source).cast("decimal(24,10)") * F.lit(str(limit)).cast("decimal(10,4)")
-    return F.when(source == 0, difference == 0).otherwise(exact)
+    """difference / |source| * 100 <= limit; a source of 0 allows no difference.
+
+    By cross multiplication with whole numbers, which is exact, wherever both products fit into 38 digits; beyond
+    that in double precision.
+    """
+    top = Decimal(str(limit))
+    scale = max(0, -top.as_tuple().exponent)
+    share, whole = int(top.scaleb(scale)), 10 ** (scale + 2)
+    in_doubles = difference.cast("double") / F.abs(source).cast("double") * 100 <= F.lit(float(top))
+    digits = 37 - max(len(str(whole)), len(str(abs(share))))
+    if digits > 10:
+        fits = lambda c, by: c.try_cast(f"decimal({digits},10)") * F.lit(str(by)).cast(f"decimal({len(str(abs(by)))},0)")
+        in_doubles = F.coalesce(fits(difference, whole) <= fits(F.abs(source), share), in_doubles)
+    return F.when(source == 0, difference == 0).otherwise(in_doubles)
 
 
 def percentage_of(source: Column, difference: Column) -> Column:

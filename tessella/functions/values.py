@@ -5,8 +5,10 @@ White space is what Unicode calls so, digits are ASCII digits, and numbers are D
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from zlib import crc32
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from ..errors import SpecError
 
 NUMBER = "decimal(38,10)"
 DEFAULT = ("trim",)
+#: Entries of a map that are searched one by one.
+LARGE = 32
 #: All characters that count as white space.
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
 
@@ -87,11 +91,21 @@ def moment(c: Column) -> Column:
 
 
 def mapped(c: Column, table: Mapping[str, str] | None) -> Column:
-    """The table's value for ``c``; what the table does not know passes."""
+    """The table's value for ``c``; what the table does not know passes.
+
+    A map is searched entry by entry, so a large table is dealt into maps of a few entries each by a checksum.
+    """
     if not table:
         return c
-    pairs = [F.lit(str(x)) for kv in table.items() for x in kv]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), c), c)
+    if len(table) <= LARGE:
+        pairs = [F.lit(str(x)) for kv in table.items() for x in kv]
+        return F.coalesce(F.try_element_at(F.create_map(*pairs), c), c)
+    parts: list[dict[str, str]] = [{} for _ in range(len(table) // 4)]
+    for k, v in table.items():
+        parts[crc32(str(k).encode()) % len(parts)][str(k)] = str(v)
+    maps = F.from_json(F.lit(json.dumps(parts)), "array<map<string,string>>")
+    own = F.get(maps, (F.crc32(c.cast("binary")) % len(parts)).cast("int"))
+    return F.coalesce(F.try_element_at(own, c), c)
 
 
 def decimal_text(value: object) -> str | None:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -57,10 +58,19 @@ class Keyed:
 
 
 def keyed(frame: DataFrame, key: str | Sequence[str], chain: Sequence[str] | None = DEFAULT, side: str = "source") -> Keyed:
-    """``frame`` with its key columns. The order is that of a single file; over many files it is only stable within a plan."""
+    """``frame`` with its key columns, and the order of its rows.
+
+    Rows read from files are ordered by file, place of the split in it, and row. What is made of several tables has
+    an order that holds for its plan only.
+    """
     names, column = listed(key), columns_of(frame, side)
     parts = {k: key_part(column(n), chain) for k, n in zip(key_names(len(names)), names, strict=True)}
-    return Keyed(frame.withColumns(parts).withColumn("__ord", F.monotonically_increasing_id()), len(names), side)
+    row = F.monotonically_increasing_id()
+    try:
+        rows = frame.withColumns(parts).withColumn("__ord", F.struct(F.input_file_name(), F.input_file_block_start(), row))
+    except AnalysisException:
+        rows = frame.withColumns(parts).withColumn("__ord", F.struct(F.lit("").alias("file"), F.lit(0).cast("long").alias("at"), row.alias("row")))
+    return Keyed(rows, len(names), side)
 
 
 def first_rows(side: Keyed) -> Keyed:

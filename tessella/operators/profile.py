@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.predicates import columns_of
 from ..functions.values import is_blank, moment, strip
 
-#: Names that a business key often has, and their weight.
-KEY_WORDS = {"id": 0.3, "key": 0.3, "number": 0.2, "no": 0.2, "nr": 0.2, "code": 0.15, "num": 0.2}
+#: What names of business keys look like without case and separators, best first, and their score.
+KEY_NAMES = ((r"^id$", 1.0), (r"id$|key", 0.9), (r"(code|number|no)$", 0.7), ("", 0.2))
 TYPES = ("boolean", "integer", "number", "datetime", "string")
 
 
@@ -32,45 +31,44 @@ def value_type(c: Column) -> Column:
 def profiled(frame: DataFrame, approximate: bool = False) -> DataFrame:
     """Field, rows, nulls, null_rate, distinct, uniqueness and inferred_type of each column, as one row a column.
 
-    approximate: count distinct values with a sketch of bounded size instead of exactly.
+    Cells are counted by column and value, and each different value is looked at once. approximate: different values
+    are counted with a sketch of bounded size, and no value is dealt out.
     """
     column = columns_of(frame, "dataset")
-    aggs, shown = [F.count(F.lit(1)).alias("rows")], []
-    for i, name in enumerate(frame.columns):
-        c = column(name)
-        value = F.when(~is_blank(c), c.cast("string"))
-        count = F.approx_count_distinct if approximate else F.count_distinct
-        aggs += [F.count_if(is_blank(c)).alias(f"n{i}"), count(value).alias(f"d{i}")]
-        aggs += [F.count_if(value.isNotNull() & (value_type(c) == t)).alias(f"{t}{i}") for t in TYPES]
-        filled = F.col("rows") - F.col(f"n{i}")
-        n = {t: F.col(f"{t}{i}") for t in TYPES}
-        kind = F.when(F.col("rows") == 0, "empty").when(filled == 0, "null")
-        for t in TYPES:
-            kind = kind.when(n[t] == filled, t)
-        kind = kind.when(n["integer"] + n["number"] == filled, "number").otherwise("mixed")
-        rate = lambda a, b: F.when(b > 0, a.cast("double") / b).otherwise(F.lit(0.0))
-        shown.append(F.struct(F.lit(name).alias("field"), F.lit(i).alias("position"), F.col("rows"), F.col(f"n{i}").alias("nulls"), rate(F.col(f"n{i}"), F.col("rows")).alias("null_rate"), F.col(f"d{i}").alias("distinct"), rate(F.col(f"d{i}"), filled).alias("uniqueness"), kind.alias("inferred_type")))
-    return frame.agg(*aggs).select(F.inline(F.array(*shown)))
-
-
-def words_of(name: str) -> list[str]:
-    """A column's name in lower-case words."""
-    return [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name).lower()) if w]
+    names = frame.sparkSession.range(1).select(F.posexplode(F.array(*[F.lit(n) for n in frame.columns])).alias("position", "field"))
+    cells = frame.select(F.posexplode(F.array(*[F.when(~is_blank(column(n)), column(n).cast("string")) for n in frame.columns])).alias("at", "value"))
+    filled = F.col("value").isNotNull()
+    if approximate:
+        cells = cells.withColumns({"c": F.lit(1), "kind": F.when(filled, value_type(F.col("value")))})
+        distinct = F.approx_count_distinct("value")
+    else:
+        cells = cells.groupBy("at", "value").agg(F.count(F.lit(1)).alias("c")).withColumn("kind", F.when(filled, value_type(F.col("value"))))
+        distinct = F.count_if(filled)
+    kinds = [F.sum(F.when(F.col("kind") == t, F.col("c")).otherwise(0)).alias(t) for t in TYPES]
+    by = cells.groupBy("at").agg(F.sum("c").alias("rows"), F.sum(F.when(filled, 0).otherwise(F.col("c"))).alias("nulls"), distinct.alias("distinct"), *kinds)
+    by = names.join(by, F.col("position") == F.col("at"), "left").na.fill(0, ["rows", "nulls", "distinct", *TYPES])
+    full = F.col("rows") - F.col("nulls")
+    kind = F.when(F.col("rows") == 0, "empty").when(full == 0, "null")
+    for t in TYPES:
+        kind = kind.when(F.col(t) == full, t)
+    kind = kind.when(F.col("integer") + F.col("number") == full, "number").otherwise("mixed")
+    rate = lambda a, b: F.when(b > 0, a.cast("double") / b).otherwise(F.lit(0.0))
+    return by.select("field", "position", "rows", "nulls", rate(F.col("nulls"), F.col("rows")).alias("null_rate"), "distinct", rate(F.col("distinct"), full).alias("uniqueness"), kind.alias("inferred_type"))
 
 
 def plain_name(name: str) -> str:
     """names that are equal but for case and separators."""
-    return "".join(words_of(name))
+    return re.sub(r"[^a-z0-9]", "", name.lower())
 
 
 def key_score(name: str) -> float:
-    """How much a column's name looks like a business key's, from 0.5 to 1."""
-    return min(1.0, 0.5 + sum(KEY_WORDS.get(w, 0.0) for w in set(words_of(name))))
+    """How much a column's name looks like a business key's."""
+    return next(score for pattern, score in KEY_NAMES if re.search(pattern, plain_name(name)))
 
 
 def candidate_keys(profile: DataFrame) -> DataFrame:
     """Field and score of columns that are never blank and always different, best first."""
-    scores = {f: key_score(f) for f in [r["field"] for r in profile.select("field").collect()]}
-    score = reduce(lambda a, kv: F.when(F.col("field") == kv[0], kv[1]).otherwise(a), scores.items(), F.lit(0.5))
+    plain = F.regexp_replace(F.lower("field"), "[^a-z0-9]", "")
+    score = F.coalesce(*[F.when(plain.rlike(pattern), F.lit(value)) for pattern, value in KEY_NAMES])
     unique = profile.where((F.col("rows") > 0) & (F.col("nulls") == 0) & (F.col("distinct") == F.col("rows")))
     return unique.select("field", score.alias("score")).orderBy(F.desc("score"), "field")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +47,11 @@ def field_pairs(source: Mapping, target: Mapping) -> list[dict]:
     return out
 
 
-def first_spec(spark: SparkSession, source: str, target: str, source_key: str | None = None, target_key: str | None = None, delimiter: str = ",", sheets: tuple[str | None, str | None] = (None, None)) -> tuple[dict, list[str]]:
-    """R2: a cautious specification of two files, and what is left to review. Keys that can't be told are refused."""
+def first_spec(spark: SparkSession, source: str, target: str, source_key: str | None = None, target_key: str | None = None, delimiter: str = ",", sheets: tuple[str | None, str | None] = (None, None), choose: Callable[[str, list[str]], str] | None = None) -> tuple[dict, list[str]]:
+    """R2: a cautious specification of two files, and what is left to review.
+
+    Keys that can't be told are refused, or chosen: choose gets the side and its candidates.
+    """
     ends = [{"file": str(Path(f).resolve()), "delimiter": delimiter} | ({"sheet": s} if s else {}) for f, s in zip((source, target), sheets, strict=True)]
     a, b = (inspect(read_file(spark, e), e["file"]) for e in ends)
     for key, p, side in ((source_key, a, "source"), (target_key, b, "target")):
@@ -56,9 +59,12 @@ def first_spec(spark: SparkSession, source: str, target: str, source_key: str |
             raise SpecError(f"{key!r} is no column of the {side}")
     if not (source_key and target_key):
         pair = key_pair(a, b)
+        if pair is None and choose:
+            pick = lambda side, p: choose(side, [k["field"] for k in p["candidate_keys"]])
+            pair = (source_key or pick("source", a), target_key or pick("target", b))
         if pair is None:
             shown = lambda p: ", ".join(k["field"] for k in p["candidate_keys"]) or "none"
-            raise SpecError(f"the business keys can't be told; candidates: source {shown(a)}; target {shown(b)}. Name them with --source-key and --target-key.")
+            raise SpecError(f"the business keys can't be told; candidates: source {shown(a)}; target {shown(b)}. Name them with --source-key and --target-key, or choose with --interactive.")
         source_key, target_key = source_key or pair[0], target_key or pair[1]
     checks, todo, used = [{"id": "coverage", "type": "record_coverage"}], [], {"coverage"}
     for p in field_pairs(a, b):

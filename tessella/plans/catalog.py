@@ -162,12 +162,21 @@ field("field_lowercase", {"source": "priority", "target": "priority", "normalize
 field("field_numeric_tol", {"source": "amount", "target": "amount", "numeric_tolerance": "0.01"}, ["absolute_difference"], f"select key, {DIFF} as absolute_difference from p where abs(amount_s - amount_t) > 0.01")
 field("field_pct_tol", {"source": "amount", "target": "amount", "percentage_tolerance": "0.01"}, ["absolute_difference", "percentage_difference"], f"select key, {DIFF} as absolute_difference, {PERCENT} as percentage_difference from p where abs(amount_s - amount_t) * 100 > 0.01 * abs(amount_s)")
 field("field_both_tol", {"source": "amount", "target": "amount", "numeric_tolerance": 1, "percentage_tolerance": "0.01"}, ["absolute_difference", "percentage_difference"], f"select key, {DIFF} as absolute_difference, {PERCENT} as percentage_difference from p where abs(amount_s - amount_t) * 100 > 0.01 * abs(amount_s) and abs(amount_s - amount_t) > 1")
+field("field_pct_small_limit", {"source": "amount", "target": "amount", "percentage_tolerance": "0.00001"}, ["absolute_difference"], f"select key, {DIFF} as absolute_difference from p where abs(amount_s - amount_t) * 100 > 0.00001 * abs(amount_s)")
 field("field_date_tol", {"source": "order_date", "target": "order_date", "date_tolerance_days": 1}, ["absolute_difference"], "select key, abs(epoch(cast(date_s as timestamp)) - epoch(cast(date_t as timestamp))) / 86400.0 as absolute_difference from p where abs(epoch(cast(date_s as timestamp)) - epoch(cast(date_t as timestamp))) > 86400")
 field("field_nulls_equal", {"source": "priority", "target": "priority"}, PLAIN, "select * from (select key, trim(priority_s) as normalized_source, trim(priority_t) as normalized_target from p) where normalized_source is distinct from normalized_target")
 field("field_nulls_empty_is_null", {"source": "priority", "target": "priority", "null_semantics": "empty_is_null"}, PLAIN, "select * from (select key, nullif(trim(priority_s), '') as normalized_source, nullif(trim(priority_t), '') as normalized_target from p) where normalized_source is distinct from normalized_target")
 field("field_nulls_never_equal", {"source": "priority", "target": "priority", "null_semantics": "never_equal"}, PLAIN, "select * from (select key, trim(priority_s) as normalized_source, trim(priority_t) as normalized_target from p) where normalized_source is distinct from normalized_target or coalesce(normalized_source, '') = '' or coalesce(normalized_target, '') = ''")
 
 
+@register("field_pct_large_values", f"{PAIR} select key from p where abs(amount_s - amount_t) * 100 > 0.000001 * abs(cast(amount_s as decimal(18,2)) + 1000000000000000)")
+def field_pct_large_values(spark, sf_dir):
+    """Sixteen digits before the point, and a limit of a millionth of a per cent."""
+    s, t = orders(spark, sf_dir)
+    s, t = (Keyed(x.rows.withColumn("amount", x.rows["amount"].cast("decimal(18,2)") + F.lit("1000000000000000").cast("decimal(16,0)")), x.width, x.side, x.flags) for x in (s, t))
+    return checks.mismatches(s, t, {"source": "amount", "target": "amount", "percentage_tolerance": "0.000001"}, unique=True).select(F.col("__k0").alias("key"))
+
+
 @register("field_max_mismatches", f"{PAIR} select count(*) as compared, count(*) filter (abs(amount_s - amount_t) > 0.01) as mismatches, count(*) filter (abs(amount_s - amount_t) > 0.01) <= 300 as passed from p")
 def field_max_mismatches(spark, sf_dir):
     s, t = orders(spark, sf_dir)
@@ -403,7 +412,7 @@ def profile_columns(spark, sf_dir):
     return profile.profiled(data(spark, sf_dir, "orders_new").select(*PROFILE)).select("field", "rows", "nulls", "null_rate", "distinct", "inferred_type")
 
 
-@register("candidate_keys", "select 'c_custkey' as field, 0.5 as score where (select count(distinct c_custkey) = count(*) from customer) union all select 'c_name', 0.5 where (select count(distinct c_name) = count(*) from customer)")
+@register("candidate_keys", "select 'c_custkey' as field, 0.9 as score where (select count(distinct c_custkey) = count(*) from customer) union all select 'c_name', 0.2 where (select count(distinct c_name) = count(*) from customer)")
 def candidate_keys(spark, sf_dir):
     frame = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
     return profile.candidate_keys(profile.profiled(frame))

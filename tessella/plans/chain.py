@@ -7,6 +7,7 @@ import time
 import uuid
 from collections.abc import Mapping
 from datetime import UTC, date, datetime
+from functools import reduce
 from pathlib import Path
 
 import yaml
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import SpecError
 from ..functions.hashing import digest
+from ..operators.stages import first_divergence
 from .evidence import located, prepared
 from .run import input_of, read_endpoint, reconcile
 from .spec import validate_spec
@@ -80,6 +82,30 @@ def selected(ids: list[str], first: str | None, last: str | None) -> list[str]:
     return ids[a : b + 1]
 
 
+def reference(check: str, detail: Mapping) -> tuple | None:
+    """check_id, ref_kind and ref of a detail as differences have them; None of one that names neither a key nor a group."""
+    kind = next((k for k in ("key", "group") if k in detail), None)
+    return kind and (check, kind, tuple(detail[kind]) if isinstance(detail[kind], list) else (detail[kind],))
+
+
+def first_steps(spark: SparkSession, every: list[tuple[str, list[DataFrame]]], raw: Mapping[str, Mapping]) -> tuple[dict, dict]:
+    """The first transition, by number, of each difference that evidence shows, and how many differences have which as
+    their first: over all differences, whatever evidence shows of them.
+    """
+    numbers = {i: k for k, (i, _) in enumerate(every)}
+    edges = [(i, reduce(DataFrame.unionByName, frames)) for i, frames in every if frames]
+    if not edges:
+        return {}, {}
+    firsts = first_divergence(edges, ["check_id", "ref_kind", "ref"])
+    totals = {numbers[r["first_transition"]]: r["count"] for r in firsts.groupBy("first_transition").count().collect()}
+    shown = {reference(c["id"], d) for e in raw.values() for c in e["checks"] for d in c["details"]} - {None}
+    if not shown:
+        return {}, totals
+    asked = spark.createDataFrame([(c, k, list(r)) for c, k, r in shown], "check_id string, ref_kind string, ref array<string>")
+    rows = firsts.join(asked, ["check_id", "ref_kind", "ref"], "left_semi").collect()
+    return {(r["check_id"], r["ref_kind"], tuple(r["ref"])): numbers[r["first_transition"]] for r in rows}, totals
+
+
 def run_chain(spark: SparkSession, spec: Mapping, base: str | Path = ".", spec_path: str | Path | None = None, first: str | None = None, last: str | None = None, today: date | None = None, frames: Mapping[str, DataFrame] | None = None) -> dict:
     """L1: the evidence of a chain. Each selected stage is read once and kept for the transitions on both sides of it."""
     started, clock = datetime.now(UTC), time.perf_counter()
@@ -90,13 +116,18 @@ def run_chain(spark: SparkSession, spec: Mapping, base: str | Path = ".", spec_p
     data = {i: ((frames or {})[i] if i in (frames or {}) else read_endpoint(spark, stages[i]["endpoint"], base)).persist() for i in chosen}
     try:
 
+        every: list[tuple[str, list[DataFrame]]] = []  # all differences of each transition
+        raw: dict[str, dict] = {}
+
         def one(edge: Mapping, a: str, b: str) -> dict:
             inner = edge_spec(spec, edge, stages[a]["endpoint"], stages[b]["endpoint"])
-            found = reconcile(spark, inner, base, spec_path, today, {"source": data[a], "target": data[b]})
-            return {"id": edge["id"], "from": a, "to": b, **prepared(found, inner)}
+            every.append((edge["id"], []))
+            raw[edge["id"]] = reconcile(spark, inner, base, spec_path, today, {"source": data[a], "target": data[b]}, every[-1][1])
+            return {"id": edge["id"], "from": a, "to": b, **prepared(raw[edge["id"]], inner)}
 
         by_pair = {(e["from"], e["to"]): e for e in spec["transitions"]}
         edges = [one(by_pair[p], *p) for p in zip(chosen, chosen[1:], strict=False)]
+        steps, totals = first_steps(spark, every, raw)
         whole = None
         if len(chosen) == len(ids) and spec.get("end_to_end") is not None:
             whole = one({"id": "end-to-end", **spec["end_to_end"]}, ids[0], ids[-1])
@@ -108,12 +139,15 @@ def run_chain(spark: SparkSession, spec: Mapping, base: str | Path = ".", spec_p
         for c in e["checks"]:
             if c["status"] != "failed":
                 continue
-            for d in c["details"] or [{}]:
+            plain = next(x for x in raw[e["id"]]["checks"] if x["id"] == c["id"])["details"]
+            for k, d in enumerate(c["details"] or [{}]):
                 if d.get("disposition") == "accepted-exception":
                     continue
                 where = located(d)
+                first_step = steps.get(reference(c["id"], plain[k])) if k < len(plain) else None
+                step_, at = (step, e) if first_step is None else (first_step, edges[first_step])
                 business = digest({"field": None if where else c["id"], **{k: v for k, v in where.items() if k != "difference"}, "check": c["id"]})
-                seen.setdefault(business, {"identity": business, "first_transition": e["id"], "transition_index": step, "check_id": c["id"], "check_type": c["type"], "locator": where, "from_stage": e["from"], "to_stage": e["to"]})
+                seen.setdefault(business, {"identity": business, "first_transition": at["id"], "transition_index": step_, "check_id": c["id"], "check_type": c["type"], "locator": where, "from_stage": at["from"], "to_stage": at["to"]})
     failed = [e for e in edges if e["status"] == "failed"]
     shown = [{"id": i, "label": stages[i].get("label"), "input": input_of(stages[i]["endpoint"], base) if i not in (frames or {}) else None, "status": "baseline" if k == 0 else edges[k - 1]["status"], "incoming_transition": None if k == 0 else edges[k - 1]["id"]} for k, i in enumerate(chosen)]
     out = {
@@ -127,6 +161,6 @@ def run_chain(spark: SparkSession, spec: Mapping, base: str | Path = ".", spec_p
         "stages": shown,
         "transitions": edges,
         "first_divergence": list(seen.values()),
-        "summary": {"stages_total": len(chosen), "transitions_total": len(edges), "transitions_failed": len(failed), "transitions_passed": len(edges) - len(failed), "first_divergences": len(seen), "end_to_end_executed": whole is not None, "end_to_end_status": whole and whole["status"]},
+        "summary": {"stages_total": len(chosen), "transitions_total": len(edges), "transitions_failed": len(failed), "transitions_passed": len(edges) - len(failed), "first_divergences": len(seen), "first_divergences_by_transition": {e["id"]: totals.get(k, 0) for k, e in enumerate(edges)}, "end_to_end_executed": whole is not None, "end_to_end_status": whole and whole["status"]},
     }
     return out | ({"end_to_end": whole} if whole else {})

@@ -69,13 +69,22 @@ class _Run:
             # The filter stands below the keys, where it can reach the scan.
             kept = frame.where(compiled(e["filter"], columns_of(frame, n))) if e.get("filter") else frame
             sides[n] = keyed(kept, e["key"], e.get("key_normalize"), n)
-        self.extra["selection"] = {n: {"raw_records": raw[n].rows.count(), "selected_records": sides[n].rows.count(), "filter": spec[n].get("filter")} for n in raw}
+        # Without a filter the checks' own count is that of all rows; with one, both are counted in one pass.
+        counted = {n: self.rows_of(raw[n], spec[n].get("filter")) for n in raw if spec[n].get("filter") or "identity" in spec}
         self.own_roots = raw
         if "identity" in spec:
             sides = self.identified(sides)
         results, counts = flat(sides["source"], sides["target"], spec["checks"], spec.get("scopes"), self.limit)
         self.results += results
         self.summary |= counts
+        every = {n: (counts[f"{n}_records"],) * 2 for n in raw} | counted
+        self.extra["selection"] = {n: {"raw_records": every[n][0], "selected_records": every[n][1], "filter": spec[n].get("filter")} for n in raw}
+
+    @staticmethod
+    def rows_of(side: Keyed, predicate: Mapping | None) -> tuple[int, int]:
+        """All rows, and those that a filter selects."""
+        kept = compiled(predicate, side.column) if predicate else F.lit(True)
+        return tuple(side.rows.agg(F.count(F.lit(1)), F.count_if(kept)).first())
 
     def identified(self, sides: Mapping[str, Keyed]) -> dict[str, Keyed]:
         """Both sides as one row a component of the crosswalk, keyed by the component's name."""
@@ -298,11 +307,12 @@ class _Run:
         self.extra["hierarchy"]["failed_objects_truncated"] = failed > len(rows)
 
 
-def reconcile(spark: SparkSession, spec: Mapping, base: str | Path = ".", spec_path: str | Path | None = None, today: date | None = None, frames: Mapping[str, DataFrame] | None = None) -> dict:
+def reconcile(spark: SparkSession, spec: Mapping, base: str | Path = ".", spec_path: str | Path | None = None, today: date | None = None, frames: Mapping[str, DataFrame] | None = None, differences: list | None = None) -> dict:
     """Runs a specification and returns its evidence, with values as they are; ``evidence.prepared`` hides what is sensitive.
 
     frames: datasets given as frames instead of files, by ``source``, ``target``, ``identity_crosswalk`` or
-    ``child:<name>:<side>``. today: the date that exceptions expire against, default today in UTC.
+    ``child:<name>:<side>``. today: the date that exceptions expire against, default today in UTC. differences: gets
+    (check_id, ref_kind, ref) of all differences of each failed check that lists them, as frames.
     """
     started, clock = datetime.now(UTC), time.perf_counter()
     validate_spec(spec)
@@ -317,6 +327,8 @@ def reconcile(spark: SparkSession, spec: Mapping, base: str | Path = ".", spec_p
         run.material()
     if "hierarchy" in run.extra:
         run.objects()
+    if differences is not None:
+        differences += [r.differences.select(F.lit(r.id).alias("check_id"), "ref_kind", "ref") for r in run.results if not r.passed and r.differences is not None]
     errors = [r for r in run.results if r.severity == "error" and not r.passed]
     warnings = [r for r in run.results if r.severity == "warning" and not r.passed]
     if "materiality" in run.extra:

@@ -11,9 +11,11 @@ import re
 import sqlite3
 import time
 from collections.abc import Iterator, Mapping
-from urllib.parse import urlsplit
+from decimal import Decimal
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..errors import DataError, SpecError
@@ -121,6 +123,52 @@ class SqliteSource(DataSource):
         return _Reader(dict(self.options), self._params())
 
 
+#: What a parameter's name is not looked for in: text, quoted names, comments, casts.
+_APART = r"'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|--[^\n]*|/\*.*?\*/|\$(?P<tag>\w*)\$.*?\$(?P=tag)\$|::"
+
+
+def literal(value: object) -> str:
+    """A value as PostgreSQL writes it."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return "TRUE" if value else "FALSE"
+    if isinstance(value, (int, float, Decimal)):
+        return f"({value})" if str(value)[0] in "-0123456789" and "n" not in str(value) else f"'{value}'::numeric"
+    if "\0" in str(value):
+        raise DataError("a bound text can't hold a zero byte")
+    quoted = str(value).replace("'", "''")
+    return f"E'{quoted.replace(chr(92), chr(92) * 2)}'" if "\\" in quoted else f"'{quoted}'"
+
+
+def bound(query: str, params: Mapping[str, object]) -> str:
+    """``query`` with a literal for each ``:name`` that stands outside of text, names and comments."""
+
+    def one(m: re.Match) -> str:
+        if not m["name"]:
+            return m[0]
+        if m["name"] not in params:
+            raise DataError(f"the query asks for {m['name']!r}, which params lack")
+        return literal(params[m["name"]])
+
+    return re.sub(rf"{_APART}|:(?P<name>[A-Za-z_]\w*)", one, query, flags=re.S)
+
+
+def postgres_options(url: str, query: str, settings: Mapping) -> dict[str, str]:
+    """What the JDBC reader needs: a session that can only read and stops its statements in time."""
+    parts, seconds = urlsplit(url), float(settings["timeout_seconds"])
+    return {
+        "url": f"jdbc:postgresql://{parts.hostname}:{parts.port or 5432}{parts.path}",
+        "user": unquote(parts.username or ""),
+        "password": unquote(parts.password or ""),
+        "driver": "org.postgresql.Driver",
+        "query": query,
+        "fetchsize": str(settings["chunk_size"]),
+        "queryTimeout": str(max(1, int(seconds))),
+        "sessionInitStatement": f"SET default_transaction_read_only = on; SET statement_timeout = {max(1, int(seconds * 1000))}",
+    }
+
+
 def read_sql(spark: SparkSession, config: Mapping) -> DataFrame:
     """The rows of a SQL endpoint as they were at one moment: read once and kept for all checks (SRC11)."""
     dialect, url = connection(config["connection"])
@@ -132,21 +180,19 @@ def read_sql(spark: SparkSession, config: Mapping) -> DataFrame:
         for k, v in (config.get("params") or {}).items():
             reader = reader.option(f"param.{k}", str(v))
         return reader.load()
-    if config.get("params"):
-        raise DataError("bound parameters are supported for SQLite; write a view or literals for PostgreSQL")
-    parts = urlsplit(url)
     try:
-        frame = (
-            spark.read.format("jdbc")
-            .options(url=f"jdbc:postgresql://{parts.hostname}:{parts.port or 5432}{parts.path}", user=parts.username or "", password=parts.password or "", driver="org.postgresql.Driver", query=query)
-            .options(fetchsize=str(settings["chunk_size"]), queryTimeout=str(max(1, int(settings["timeout_seconds"]))), sessionInitStatement="SET default_transaction_read_only = on")
-            .load()
-        )
+        frame = spark.read.format("jdbc").options(**postgres_options(url, bound(query, config.get("params") or {}), settings)).load()
+        # The rows are kept as they are counted, so that the guard and all checks see one execution.
+        frame = frame.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in frame.columns]).limit(settings["max_rows"] + 1).persist()
+        rows = frame.count()
+    except DataError:
+        raise
     except Exception as e:
         raise DataError(f"PostgreSQL can't be read: {str(e).splitlines()[0]}") from None
-    if frame.limit(settings["max_rows"] + 1).count() > settings["max_rows"]:
+    if rows > settings["max_rows"]:
+        frame.unpersist()
         raise DataError(f"the query gives more than max_rows = {settings['max_rows']} rows")
-    return frame.select(*[frame[c].cast("string").alias(c) for c in frame.columns])
+    return frame
 
 
 def provenance(config: Mapping) -> dict:

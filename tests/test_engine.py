@@ -8,6 +8,7 @@ from datetime import date
 
 import pytest
 import yaml
+from pyspark.sql import functions as F
 
 from tessella.cli import main
 from tessella.errors import DataError, SpecError
@@ -283,3 +284,79 @@ def test_order_and_partitions_change_nothing(spark, tmp_path):
     a = reconcile(spark, spec, tmp_path, frames={"source": s, "target": t})
     b = reconcile(spark, spec, tmp_path, frames={"source": s.repartition(3), "target": t.repartition(5)})
     assert a["checks"] == b["checks"]
+
+
+def test_chain_tells_the_first_of_all_differences(spark, tmp_path):
+    rows = lambda f: "ID,V\n" + "".join(f"{i:04d},{f(i)}\n" for i in range(1000))
+    for name, f in (("a", lambda i: "x"), ("b", lambda i: "y" if i < 990 else "x"), ("c", lambda i: "z" if i >= 600 else "y")):
+        (tmp_path / f"{name}.csv").write_text(rows(f))
+    ends = [{"id": n, "endpoint": {"file": f"{n}.csv", "key": "ID"}} for n in "abc"]
+    spec = {"version": 1, "pipeline": {"name": "p"}, "stages": ends, "evidence": {"detail_limit": 10}, "transitions": [{"id": "ab", "from": "a", "to": "b", "checks": [match()]}, {"id": "bc", "from": "b", "to": "c", "checks": [match()]}]}
+    e = chain.run_chain(spark, spec, tmp_path)
+    assert {d["locator"]["key"]: d["first_transition"] for d in e["first_divergence"]} == {f"{i:04d}": "ab" for i in [*range(10), *range(600, 610)]}
+    assert e["summary"]["first_divergences_by_transition"] == {"ab": 990, "bc": 10}
+
+
+def test_percentages_of_any_size(spark):
+    from tessella.functions.compare import within_percentage
+
+    cases = [("10000000", "0.5", "0.00001", True), ("10000000", "1.5", "0.00001", False), ("1000000000000000", "1", "0.0001", True), ("9999999999999999999999999999", "1", "5", True), ("9999999999999999999999999999", "9999999999999999999999999999", "5", False), ("0", "0", "1", True), ("0", "1", "100", False), ("-50", "5", "10", True), ("-50", "5.0000000001", "10", False), ("3", "1", "33.3333333333", False), ("3", "1", "33.3333333334", True)]
+    frame = spark.createDataFrame([(s, d) for s, d, *_ in cases], "s string, d string").coalesce(1)
+    for k, (s, d, limit, wanted) in enumerate(cases):
+        x = frame.where((F.col("s") == s) & (F.col("d") == d)).select(within_percentage(F.col("s").cast("decimal(38,10)"), F.col("d").cast("decimal(38,10)"), limit).alias("x")).first()
+        assert x["x"] is wanted, k
+
+
+def test_large_maps(spark):
+    from tessella.functions.values import mapped
+
+    table = {f"k{i}": f"v{i}" for i in range(3000)} | {"é": "accent"}
+    frame = spark.createDataFrame([("k7",), ("k2999",), ("é",), ("other",), (None,)], "c string")
+    assert [r["m"] for r in frame.select(mapped(F.col("c"), table).alias("m")).collect()] == ["v7", "v2999", "accent", "other", None]
+
+
+def test_first_rows_are_those_of_the_first_file(spark, tmp_path):
+    from tessella.operators.keyed import first_rows, keyed
+
+    for n, text in (("b", "2"), ("a", "1"), ("c", "3")):
+        (tmp_path / f"{n}.csv").write_text(f"ID,V\nx,{text}\nx,9\n")
+    frame = spark.read.csv(str(tmp_path), header=True)
+    assert [r["V"] for r in first_rows(keyed(frame, "ID")).rows.collect()] == ["1"]
+
+
+def test_stream_compares_the_latest_row(spark, tmp_path):
+    from tessella.streaming.continuous import reconcile_stream
+
+    spark.createDataFrame([("1", "old", 1), ("1", "new", 2), ("2", "x", 1)], "ID string, V string, at int").write.parquet(str(tmp_path / "in"))
+    target, found = spark.createDataFrame([("1", "new"), ("2", "y")], "ID string, V string"), []
+    stream = spark.readStream.schema("ID string, V string, at int").parquet(str(tmp_path / "in"))
+    query = reconcile_stream(stream, lambda: target, "ID", "ID", match(), lambda rows, n: found.extend(r["__k0"] for r in rows.collect()), str(tmp_path / "at"), "at")
+    query.processAllAvailable()
+    query.stop()
+    assert found == ["2"]
+
+
+def test_postgres_parameters_and_session():
+    from tessella.sources import sql
+
+    query = "select a::int, ':no', \":no\" /* :no */ from t where x = :x and y > :n and z = :b -- :no"
+    assert sql.bound(query, {"x": "O'Neil", "n": -1.5, "b": None}) == "select a::int, ':no', \":no\" /* :no */ from t where x = 'O''Neil' and y > (-1.5) and z = NULL -- :no"
+    assert sql.literal("a\\b") == "E'a\\\\b'" and sql.literal(True) == "TRUE"
+    with pytest.raises(DataError):
+        sql.bound("select :missing", {})
+    options = sql.postgres_options("postgresql://me:p%40ss@db.example.org/x", "select 1", sql.DEFAULTS | {"timeout_seconds": 1.5})
+    assert options["password"] == "p@ss" and "statement_timeout = 1500" in options["sessionInitStatement"] and "read_only = on" in options["sessionInitStatement"]
+
+
+def test_init_does_not_overwrite_and_asks(spark, tmp_path, monkeypatch, capsys):
+    from tessella.cli import main
+
+    for n in "st":
+        (tmp_path / f"{n}.csv").write_text("ORDERID,ALT\n1,a\n2,b\n")
+        (tmp_path / f"{n}2.csv").write_text("A,B\n1,a\n2,b\n")
+    args = ["init", str(tmp_path / "s.csv"), str(tmp_path / "t.csv"), "-o", str(tmp_path / "r.yaml")]
+    assert main(args) == 0 and main(args) == 2 and main([*args, "--force"]) == 0 and "key: ORDERID" in (tmp_path / "r.yaml").read_text()
+    said = iter(["x", "9", "2", "2"])
+    monkeypatch.setattr("builtins.input", lambda _: next(said))
+    args = ["init", str(tmp_path / "s2.csv"), str(tmp_path / "t2.csv"), "-o", str(tmp_path / "q.yaml")]
+    assert main(args) == 2 and main([*args, "--interactive"]) == 0 and "key: B" in (tmp_path / "q.yaml").read_text()
