@@ -395,13 +395,28 @@ def test_pipeline_runs_its_stages_in_order(spark, tmp_path):
     clean = [r for r, c in zip(one, brute.contaminated([t for _, t in one], items), strict=True) if not c[-1]]
     assert [i for i, _ in clean] == [*range(40), 63]
     got = corpus_pipeline.run(spark, str(tmp_path))
-    assert set(got.columns) == {"doc_id", "size", "text_crc32", "shard", "slot"}
-    taken = Counter(r["doc_id"] for r in got.collect())
+    assert set(got.columns) == {*frame(spark, []).columns, "slot"}
+    rows = got.collect()
+    taken = Counter(r["doc_id"] for r in rows)
+    assert all(r["text"] == dict(clean)[r["doc_id"]] for r in rows)
+    assert sorted((r["shard"], r["slot"]) for r in rows) == sorted((r["shard"], r["slot"]) for r in sharding.shards(got.select("doc_id", "text", "lang", "source")).collect())
     # What the mix takes is decided by the rows that come out of the stages before it.
     wanted = {r["doc_id"]: r["copies"] for r in mixing.copies(frame(spark, clean)).collect() if r["copies"]}
     assert taken == wanted
 
 
+def test_pipeline_stages_take_nulls_repeats_and_empty_tables(spark, empty, tmp_path):
+    prose = " ".join(f"word{k}" for k in range(60))
+    odd = frame(spark, [(None, prose), (None, None), (1, ""), (2, prose + " end"), (2, prose + " end"), (3, "x" * 1_200_000)])
+    spark.createDataFrame([(1, None), (None, "alpha beta")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
+        out = stage(spark, odd, str(tmp_path))
+        assert set(odd.columns) <= set(out.columns), name
+        assert {r["text"] for r in out.select("text").collect()} <= {r["text"] for r in odd.select("text").collect()}, name
+        assert out.where("text is not null and length(text) > 100 and length(text) < 1000").count() > 0, name
+
+
 def test_empty_tables(spark, empty):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     bench = spark.createDataFrame([], "item_id long, text string")
