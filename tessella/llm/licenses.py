@@ -2,17 +2,23 @@
 
 A paragraph is a run of lines up to a blank one, without comment marks: notices are wrapped. Each line is judged
 by itself first, since lists of licences have one a line; where no line of a paragraph is confirmed, the lines
-joined are judged, and if they are confirmed they count as one licence line in place of their own. Sparse word 1- and 2-grams feed a multinomial logistic regression over
-licence families and "none"; it is trained here, on the driver, from the templates below and their
-alterations. A temperature and a threshold are set on alterations held out: a paragraph whose best family is
-below the threshold is of class "unknown". A family is confirmed if the paragraph holds at least CONFIRM of
-the 2-grams of one of its templates; unconfirmed ones are "unknown" too.
+joined are judged, and if they are confirmed they count as one licence line in place of their own.
+
+Sparse word 1- and 2-grams feed a multinomial logistic regression over licence families and "none", trained here, on
+the driver, from the templates below, sentences that grant nothing, and alterations of both. What decides is set on
+wordings that a first fit has not seen: one template of each family that has several, every third sentence, and
+notices of families that the model doesn't know. A temperature fits its probabilities to them, and two thresholds
+are chosen that tell best known families, none, and unknown ones: a paragraph is "none" if that is probable enough,
+else of its best family if that is, and else "unknown". A family is confirmed if the paragraph holds at least CONFIRM
+of the 2-grams of one of its templates; unconfirmed ones are "unknown" too. The last fit is over all wordings.
 
 Every feature has a word of the lexicon, so that paragraphs without any are "none" by the model itself and
 are passed over by one regular expression. Scoring uses DataFrame functions only; the model's tables have as
 many rows as the templates have n-grams.
 
-Rows: null and empty texts have no paragraphs. Rows that share a doc_id are told apart by a hash of the text.
+Rows: null and empty texts have no paragraphs. Rows that share a doc_id, or have none, are told apart by a 128-bit print
+of the text; rows that share the text too get the same result. Very long texts and paragraphs are read whole. Other
+columns of the input, whatever their names, are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,30 +36,93 @@ from .tables import empty_safe_text, staged
 
 #: Usual wordings of licence notices, by family.
 TEMPLATES = {
-    "MIT": ("SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", 
+    "MIT": (
+        "SPDX-License-Identifier: MIT",
         "Released under the MIT License.",
         "Licensed under the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ),
-    "Apache-2.0": ("SPDX-License-Identifier: Apache-2.0", 
+    "Apache-2.0": (
+        "SPDX-License-Identifier: Apache-2.0",
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License.",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     ),
-    "GPL": ("SPDX-License-Identifier: GPL-3.0-only", "SPDX-License-Identifier: GPL-2.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", 
+    "GPL": (
+        "SPDX-License-Identifier: GPL-3.0-only",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "Licensed under the GPL version 2 or later.",
+        "You should have received a copy of the GNU General Public License along with this program.",
+    ),
+    "LGPL": (
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    "AGPL": (
+        "SPDX-License-Identifier: AGPL-3.0-only",
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "BSD": (
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "SPDX-License-Identifier: BSD-2-Clause",
+        "Released under the BSD 3-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    ),
+    "MPL-2.0": (
+        "SPDX-License-Identifier: MPL-2.0",
+        "Licensed under the Mozilla Public License 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+    "CC-BY": (
+        "SPDX-License-Identifier: CC-BY-4.0",
+        "Licensed under CC BY 4.0.",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    ),
+    "CC-BY-SA": (
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    ),
+    "CC-BY-NC": (
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
+        "Licensed under CC BY-NC 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    ),
+    "CC0": (
+        "SPDX-License-Identifier: CC0-1.0",
+        "Released into the public domain under CC0 1.0.",
+        "To the extent possible under law, the author has waived all copyright and related rights to this work.",
+    ),
+    "proprietary": (
+        "Copyright. All rights reserved.",
+        "All rights reserved. No part of this publication may be reproduced without written permission of the publisher.",
     ),
-    "LGPL": ("SPDX-License-Identifier: LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "Licensed under the GNU Lesser General Public License, version 2.1.", "This library is free software; you can redistribute it under the terms of the GNU Lesser General Public License."),
-    "AGPL": ("SPDX-License-Identifier: AGPL-3.0-only", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "Licensed under the GNU Affero General Public License, version 3.",),
-    "BSD": ("SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Released under the BSD 3-Clause License."),
-    "MPL-2.0": ("SPDX-License-Identifier: MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0."),
-    "CC-BY": ("SPDX-License-Identifier: CC-BY-4.0", "Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-SA": ("SPDX-License-Identifier: CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "CC-BY-NC": ("SPDX-License-Identifier: CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC0": ("SPDX-License-Identifier: CC0-1.0", "Released into the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
-    "proprietary": ("Copyright. All rights reserved.", "All rights reserved. No part of this publication may be reproduced without written permission of the publisher."),
 }
+#: Notices of families that the model doesn't know. They only help to set what decides.
+UNSEEN = (
+    "SPDX-License-Identifier: ISC",
+    "ISC License",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "SPDX-License-Identifier: Zlib",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.",
+    "SPDX-License-Identifier: EPL-2.0",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "Licensed under the European Union Public Licence, version 1.2.",
+    "This package is free software; you can redistribute it under the terms of the Artistic License 2.0.",
+    "This software is licensed under the terms of the Ruby license.",
+    "Licensed under the Open Software License version 3.0.",
+)
 #: Sentences with words of the lexicon that grant no licence.
 OTHERS = (
     "You need a driving license to rent a car in this city.",
@@ -76,15 +145,26 @@ OTHERS = (
     "Copyright law was changed after a long debate.",
     "Rights and duties of the members are listed below.",
     "Source and binary stars were observed in two forms.",
+    "A marriage license was issued to the couple on Friday.",
+    "The bar lost its liquor license after the fight.",
+    "Students released the pigeons under the domain of the palace.",
+    "His copyright claim was waived by the international court.",
 )
 #: Words that are common in any text and make no paragraph worth a look.
-COMMON = frozenset("a an and any all are as at be been by can for free from has have in into is it later may no not of on or part person that the this to under use was with work without you version following file files forms form met published publication public general general related rights terms code source copy charge deal except extent foundation author international conditions provided related program library written possible law obtaining associated documentation binary v s only identifier including limitation copy modify merge publish distribute sell copies permit persons whom furnished do so subject either your option".split())
-CONFIRM = 0.6
+COMMON = frozenset(
+    "a an and any all are as at be been by can for free from has have in into is it later may no not of on or part person "
+    "that the this to under use was with work without you version following file files forms form met published "
+    "publication public general related rights terms code source copy charge deal except extent foundation author "
+    "international conditions provided program library written possible law obtaining associated documentation binary v s "
+    "only identifier including limitation modify merge publish distribute sell copies permit persons whom furnished do "
+    "so subject either your option above notice shall included substantial portions obtain http www org should received "
+    "along must retain list if one distributed".split()
+)
+CONFIRM = 0.75
 #: What a line of a comment starts and ends with.
 MARKS = r"(?m)^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|--+|;+|%+|<!--)?[ \t]*|[ \t]*(?:\*+/|-->)?[ \t\r]*$"
-#: Alterations of each template and each other sentence; and the share of them that is held out.
-ALTERED, HELD_OUT = 24, 0.3
-FALSE_ALARMS = 0.005
+#: Alterations of each template and each other sentence.
+ALTERED = 24
 NONE, UNKNOWN = "none", "unknown"
 
 
@@ -96,9 +176,35 @@ def grams(words: list[str]) -> set[str]:
     return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
 
 
+def probabilities(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def fitted(x: np.ndarray, y: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of a multinomial logistic regression. y: the class, or -1 for rows that are left out."""
+    x, y = x[y >= 0], y[y >= 0]
+    weight, bias = np.zeros((x.shape[1], classes), np.float32), np.zeros(classes, np.float32)
+    bias[0] = 2.0
+    onehot = np.eye(classes)[y]
+    for _ in range(150):
+        d = (probabilities(x @ weight + bias) - onehot) / len(y)
+        weight -= 8.0 * (x.T @ d + 1e-5 * weight)
+        bias -= 2.0 * d.sum(0)
+    return weight, bias
+
+
+def decided(p: np.ndarray, none: float, sure: float) -> np.ndarray:
+    """The class of each row of probabilities; -1 is unknown."""
+    best = 1 + p[:, 1:].argmax(1)
+    return np.where(p[:, 0] >= none, 0, np.where(p[np.arange(len(p)), best] >= sure, best, -1))
+
+
 @cache
 def model() -> dict:
-    """Weights by n-gram and class, bias, temperature, threshold, lexicon, and 2-grams of the templates."""
+    """Weights by n-gram and class, bias, temperature, thresholds, lexicon, 2-grams of the templates, and how many of the
+    held-out wordings of known families, none and unknown families are told.
+    """
     rng = np.random.Generator(np.random.PCG64(11))
     labels = [NONE, *TEMPLATES]
     lexicon = sorted({t for family in TEMPLATES.values() for x in family for t in tokens(x)} - COMMON - set("0123456789"))
@@ -114,36 +220,33 @@ def model() -> dict:
         pad = lambda: list(rng.choice(filler, int(rng.integers(0, 6))))
         return [*pad(), *kept, *pad()]
 
-    rows = [(k, altered(tokens(x))) for k, f in enumerate(labels[1:], 1) for x in TEMPLATES[f] for _ in range(ALTERED)]
-    rows += [(0, altered(tokens(x))) for x in OTHERS for _ in range(ALTERED)]
-    rows += [(0, list(rng.choice(filler, 12))) for _ in range(ALTERED * 10)]
-    vocabulary = sorted({g for _, w in rows for g in features(w)})
+    # class (-1: a family that is not known), held out, words
+    rows = [(k, len(TEMPLATES[f]) > 2 and i == 1, altered(tokens(x))) for k, f in enumerate(labels[1:], 1) for i, x in enumerate(TEMPLATES[f]) for _ in range(ALTERED)]
+    rows += [(0, i % 3 == 1, altered(tokens(x))) for i, x in enumerate(OTHERS) for _ in range(ALTERED)]
+    rows += [(0, i % 3 == 1, list(rng.choice(filler, 12))) for i in range(ALTERED * 10)]
+    rows += [(-1, True, altered(tokens(x))) for x in UNSEEN for _ in range(ALTERED)]
+    vocabulary = sorted({g for k, _, w in rows if k >= 0 for g in features(w)})
     at = {g: i for i, g in enumerate(vocabulary)}
     x = np.zeros((len(rows), len(vocabulary)), np.float32)
-    for i, (_, w) in enumerate(rows):
-        x[i, [at[g] for g in features(w)]] = 1
-    y = np.array([k for k, _ in rows])
-    out = rng.random(len(rows)) < HELD_OUT
-    weight, bias = np.zeros((len(vocabulary), len(labels)), np.float32), np.zeros(len(labels), np.float32)
-    bias[0] = 2.0
-    onehot = np.eye(len(labels))[y]
+    for i, (_, _, w) in enumerate(rows):
+        x[i, [at[g] for g in features(w) if g in at]] = 1
+    y, out = np.array([k for k, *_ in rows]), np.array([held for _, held, _ in rows])
+    weight, bias = fitted(x, np.where(out, -1, y), len(labels))
+    z, truth = x[out] @ weight + bias, y[out]
+    seen = truth >= 0
+    temperature = min((0.25 * k for k in range(1, 21)), key=lambda t: -np.log(probabilities(z[seen] / t)[np.arange(seen.sum()), truth[seen]] + 1e-12).mean())
+    p = probabilities(z / temperature)
 
-    def probabilities(z: np.ndarray) -> np.ndarray:
-        e = np.exp(z - z.max(1, keepdims=True))
-        return e / e.sum(1, keepdims=True)
+    def told(none: float, sure: float) -> list[float]:
+        got = decided(p, none, sure)
+        return [float((got == truth)[kind].mean()) for kind in (truth > 0, truth == 0, truth < 0)]
 
-    for _ in range(150):
-        d = (probabilities(x[~out] @ weight + bias) - onehot[~out]) / (~out).sum()
-        weight -= 8.0 * (x[~out].T @ d + 1e-5 * weight)
-        bias -= 2.0 * d.sum(0)
-    z = x[out] @ weight + bias
-    temperature = min((0.25 * k for k in range(1, 21)), key=lambda t: -np.log(probabilities(z / t)[np.arange(len(z)), y[out]] + 1e-12).mean())
-    p = probabilities(z / temperature)
-    wrong = np.sort(p[(y[out] == 0)][:, 1:].max(1))
-    threshold = float(max(0.5, wrong[int(len(wrong) * (1 - FALSE_ALARMS)) - 1]))
+    grid = np.linspace(0.05, 0.95, 19)
+    none, sure = max(((float(a), float(b)) for a in grid for b in grid), key=lambda t: sum(told(*t)))
+    shares = dict(zip(("known", "none", "unknown"), told(none, sure), strict=True))
+    weight, bias = fitted(x, y, len(labels))
     templates = [(f, k, sorted(g for g in grams(tokens(t)) if " " in g)) for f, family in TEMPLATES.items() for k, t in enumerate(family)]
-    accuracy = float((p.argmax(1) == y[out]).mean())
-    return {"labels": labels, "lexicon": lexicon, "weights": {g: weight[i].tolist() for g, i in at.items()}, "bias": bias.tolist(), "temperature": temperature, "threshold": threshold, "templates": templates, "accuracy": accuracy}
+    return {"labels": labels, "lexicon": lexicon, "weights": {g: weight[i].tolist() for g, i in at.items()}, "bias": bias.tolist(), "temperature": temperature, "none": none, "sure": sure, "templates": templates, "told": shares}
 
 
 def literal(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
@@ -169,10 +272,12 @@ def classified(lines: DataFrame) -> DataFrame:
     full = F.array(*[(F.coalesce(F.get("z", F.lit(i)), F.lit(0.0)) + bias[i]) / m["temperature"] for i in range(k)])
     scored = scored.withColumn("z", full).withColumn("top", F.array_max("z"))
     total = F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top")))
-    scored = scored.withColumn("probability", 1 / total).withColumn("family", F.get(labels, F.array_position("z", F.col("top")).cast("int") - 1))
+    scored = scored.withColumns({"total": total, "best": F.array_max(F.slice("z", 2, k - 1))})
+    scored = scored.withColumns({"none": F.exp(F.get("z", F.lit(0)) - F.col("top")) / F.col("total"), "probability": F.exp(F.col("best") - F.col("top")) / F.col("total"), "family": F.get(labels, F.array_position(F.slice("z", 2, k - 1), F.col("best")).cast("int"))})
     scored = scored.join(same, (F.col("id") == F.col("id_")) & (F.col("family") == F.col("f_")), "left")
-    sure = (F.col("probability") >= m["threshold"]) & (F.coalesce("part", F.lit(0.0)) >= CONFIRM)
-    return scored.select("line", F.when((F.col("family") == NONE) | sure, F.col("family")).otherwise(UNKNOWN).alias("family"), "probability")
+    sure = (F.col("probability") >= m["sure"]) & (F.coalesce("part", F.lit(0.0)) >= CONFIRM)
+    family = F.when(F.col("none") >= m["none"], NONE).when(sure, F.col("family")).otherwise(UNKNOWN)
+    return scored.select("line", family.alias("family"), F.when(F.col("none") >= m["none"], F.col("none")).otherwise(F.col("probability")).alias("probability"))
 
 
 def interesting(line: Column) -> Column:
@@ -187,7 +292,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     """
     text = empty_safe_text(docs)
     pars = F.transform(F.split(F.regexp_replace(text, MARKS, ""), "\n\n+", -1), lambda x, i: F.when(interesting(x), F.struct(i.alias("par_no"), x.alias("par"))))
-    pars = docs.select("doc_id", F.hash(text).alias("tx"), F.explode(F.filter(pars, lambda x: x.isNotNull())).alias("p")).select("doc_id", "tx", "p.par_no", "p.par")
+    pars = docs.select("doc_id", F.unhex(F.md5(text)).alias("tx"), F.explode(F.filter(pars, lambda x: x.isNotNull())).alias("p")).select("doc_id", "tx", "p.par_no", "p.par")
     split = F.split("par", "\n", -1)
     each = F.filter(F.transform(split, lambda x, i: F.struct(i.alias("line_no"), x.alias("line"))), lambda x: interesting(x["line"]))
     joined = F.when(F.size(split) > 1, F.array(F.struct(F.lit(-1).alias("line_no"), F.array_join(split, " ").alias("line")))).otherwise(F.slice(each, 1, 0))
@@ -203,7 +308,7 @@ def scanned(docs: DataFrame) -> DataFrame:
 def by_document(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines (lines with a word), n_licence, n_unknown and families (sorted, comma-joined) of every row."""
     text = empty_safe_text(docs)
-    base = docs.select("doc_id", F.hash(text).alias("tx"), F.size(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_lines"))
+    base = docs.select("doc_id", F.unhex(F.md5(text)).alias("tx"), F.size(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_lines"))
     found = scanned(docs)
     by = found.groupBy(F.col("doc_id").alias("d_"), F.col("tx").alias("x_")).agg(
         F.count_if(F.col("family") != UNKNOWN).alias("n_licence"), F.count_if(F.col("family") == UNKNOWN).alias("n_unknown"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("family") != UNKNOWN, F.col("family")))), ",").alias("families")

@@ -287,3 +287,26 @@ def pseudo_likelihood(texts, net, count, others, lm):
             total += math.log(p)
         out.append((len(h), total, hits))
     return out
+
+
+def licences(text, m, lib):
+    """(families, licence lines, unknown lines) of a text whose paragraphs are single lines. m, lib: the model and its constants."""
+    families, known, unknown = set(), 0, 0
+    for line in text.split("\n\n"):
+        words = lib.tokens(line)
+        if not set(words) & set(m["lexicon"]):
+            continue
+        mine = lib.grams(words)
+        z = [(b + sum(m["weights"][g][k] for g in mine if g in m["weights"])) / m["temperature"] for k, b in enumerate(m["bias"])]
+        total = sum(math.exp(x) for x in z)
+        p = [math.exp(x) / total for x in z]
+        best = max(range(1, len(p)), key=lambda k: p[k])
+        held = max((len(mine & set(pairs)) / len(pairs) for f, _, pairs in m["templates"] if f == m["labels"][best] and pairs), default=0)
+        if p[0] >= m["none"]:
+            continue
+        if p[best] >= m["sure"] and held >= lib.CONFIRM:
+            families.add(m["labels"][best])
+            known += 1
+        else:
+            unknown += 1
+    return ",".join(sorted(families)), known, unknown

@@ -249,9 +249,25 @@ def test_licenses_of_wrapped_notices_and_identifiers(spark):
     assert got == {1: ("MIT", 1), 2: ("GPL", 1), 3: ("LGPL", 1), 4: ("BSD", 1), 5: ("MIT", 1), 6: ("GPL,MIT", 2)}
 
 
+def test_licenses_of_families_that_are_not_known(spark):
+    texts = ["This file is under the ISC License version 2", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "Licensed under the Eclipse Public License 2.0.", "// SPDX-License-Identifier: Unlicense", "The cat sat on the mat."]
+    rows = [*enumerate(texts), (None, texts[0]), (0, texts[0]), (7, "word " * 300_000 + texts[0])]
+    got = Counter((r["doc_id"], r["families"], r["n_unknown"]) for r in licenses.by_document(frame(spark, rows)).collect())
+    assert got == Counter([(0, "", 1), (0, "", 1), (1, "", 1), (2, "", 1), (3, "", 1), (4, "", 0), (None, "", 1), (7, "", 1)])
+
+
+def test_licenses_against_a_plain_version(spark):
+    r, m = random.Random(5), licenses.model()
+    pool = [t for f in licenses.TEMPLATES.values() for t in f] + list(licenses.OTHERS) + list(licenses.UNSEEN)
+    texts = ["\n\n".join(r.choice(pool) for _ in range(3)) for _ in range(40)]
+    got = {x["doc_id"]: (x["families"], x["n_licence"], x["n_unknown"]) for x in licenses.by_document(frame(spark, list(enumerate(texts)))).collect()}
+    assert got == {i: brute.licences(t, m, licenses) for i, t in enumerate(texts)}
+
+
 def test_license_model_holds_out():
     m = licenses.model()
-    assert m["accuracy"] > 0.93 and 0.5 <= m["threshold"] < 1
+    # Of wordings and families that the first fit has not seen.
+    assert m["told"]["known"] > 0.6 and m["told"]["none"] > 0.95 and m["told"]["unknown"] > 0.6, m["told"]
     for family, templates in licenses.TEMPLATES.items():
         for t in templates:
             words_ = licenses.grams(licenses.tokens(t))
