@@ -1,8 +1,9 @@
 """License scans: a trained classifier of paragraphs, confirmed by comparison with templates.
 
-A paragraph is a run of lines up to a blank one, without comment marks: notices are wrapped. Each line is judged
-by itself first, since lists of licences have one a line; where no line of a paragraph is confirmed, the lines
-joined are judged, and if they are confirmed they count as one licence line in place of their own.
+A paragraph is a stretch of lines with words of the lexicon, with at most one other line between two of them, up to a
+blank one, without comment marks: notices are wrapped. Each line is judged by itself first, since lists of licences
+have one a line; where no line of a paragraph is confirmed, the lines joined are judged, and if they are confirmed they
+count as one licence line in place of their own.
 
 Sparse word 1- and 2-grams feed a multinomial logistic regression over licence families and "none", trained here, on
 the driver, from the templates below, sentences that grant nothing, and alterations of both. What decides is set on
@@ -162,7 +163,7 @@ COMMON = frozenset(
 )
 CONFIRM = 0.75
 #: What a line of a comment starts and ends with.
-MARKS = r"(?m)^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|--+|;+|%+|<!--)?[ \t]*|[ \t]*(?:\*+/|-->)?[ \t\r]*$"
+MARKS = r"^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|--+|;+|%+|<!--)?[ \t]*|[ \t]*(?:\*+/|-->)?[ \t\r]*$"
 #: Alterations of each template and each other sentence.
 ALTERED = 24
 NONE, UNKNOWN = "none", "unknown"
@@ -254,13 +255,18 @@ def literal(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
+def line_id() -> Column:
+    """A 128-bit print of the line."""
+    return F.unhex(F.md5("line"))
+
+
 def classified(lines: DataFrame) -> DataFrame:
-    """line, family, probability of each distinct ``line`` with a word of the lexicon; family is none, unknown or confirmed."""
+    """id, family, probability of each distinct ``line`` (with its ``line_id``); family is none, unknown or confirmed."""
     spark, m = lines.sparkSession, model()
     words = F.array_remove(F.split(F.lower("line"), "[^a-z0-9]+", -1), "")
-    each = lines.select("line").distinct().withColumn("id", F.md5("line")).withColumn("w", words)
+    each = staged(lines.groupBy("id").agg(F.first("line").alias("line")), "license-lines").withColumn("w", words)
     pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    each = staged(each.withColumn("pairs", F.array_distinct(pairs)).withColumn("grams", F.array_union("w", "pairs")), "license-lines")
+    each = each.withColumn("pairs", F.array_distinct(pairs)).withColumn("grams", F.array_union("w", "pairs"))
     weights = literal(spark, [{"gram": g, "w": w} for g, w in m["weights"].items()], "gram: string, w: array<double>")
     k = len(m["labels"])
     z = each.select("id", F.explode("grams").alias("gram")).join(weights, "gram").groupBy("id").agg(F.array(*[F.sum(F.get("w", F.lit(i))) for i in range(k)]).alias("z"))
@@ -268,7 +274,7 @@ def classified(lines: DataFrame) -> DataFrame:
     hits = each.select("id", F.explode("pairs").alias("pair")).join(templates, "pair").groupBy("id", "family", "t").agg((F.count(F.lit(1)) / F.max("size")).alias("part"))
     same = hits.groupBy(F.col("id").alias("id_"), F.col("family").alias("f_")).agg(F.max("part").alias("part"))
     bias, labels = m["bias"], F.array(*[F.lit(x) for x in m["labels"]])
-    scored = each.select("id", "line").join(z.withColumnRenamed("id", "z_id"), F.col("id") == F.col("z_id"), "left")
+    scored = each.select("id").join(z.withColumnRenamed("id", "z_id"), F.col("id") == F.col("z_id"), "left")
     full = F.array(*[(F.coalesce(F.get("z", F.lit(i)), F.lit(0.0)) + bias[i]) / m["temperature"] for i in range(k)])
     scored = scored.withColumn("z", full).withColumn("top", F.array_max("z"))
     total = F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp(v - F.col("top")))
@@ -277,7 +283,7 @@ def classified(lines: DataFrame) -> DataFrame:
     scored = scored.join(same, (F.col("id") == F.col("id_")) & (F.col("family") == F.col("f_")), "left")
     sure = (F.col("probability") >= m["sure"]) & (F.coalesce("part", F.lit(0.0)) >= CONFIRM)
     family = F.when(F.col("none") >= m["none"], NONE).when(sure, F.col("family")).otherwise(UNKNOWN)
-    return scored.select("line", family.alias("family"), F.when(F.col("none") >= m["none"], F.col("none")).otherwise(F.col("probability")).alias("probability"))
+    return scored.select("id", family.alias("family"), F.when(F.col("none") >= m["none"], F.col("none")).otherwise(F.col("probability")).alias("probability"))
 
 
 def interesting(line: Column) -> Column:
@@ -285,20 +291,33 @@ def interesting(line: Column) -> Column:
     return line.rlike(rf"(?i)(?<![a-z0-9])(?:{'|'.join(model()['lexicon'])})(?![a-z0-9])")
 
 
+def bare(line: Column) -> Column:
+    """A line without comment marks."""
+    return F.regexp_replace(line, MARKS, "")
+
+
 def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, tx, par_no, line_no, line, family, probability of what the model calls a licence or unknown.
 
-    line_no counts from 0 in its paragraph; -1 is the paragraph as a whole, which stands for its lines.
+    Lines with a word of the lexicon form a stretch if at most one line, not a blank one, is between them. line_no is
+    that in the text; -1 is a stretch as a whole, which stands for its lines.
     """
     text = empty_safe_text(docs)
-    pars = F.transform(F.split(F.regexp_replace(text, MARKS, ""), "\n\n+", -1), lambda x, i: F.when(interesting(x), F.struct(i.alias("par_no"), x.alias("par"))))
-    pars = docs.select("doc_id", F.unhex(F.md5(text)).alias("tx"), F.explode(F.filter(pars, lambda x: x.isNotNull())).alias("p")).select("doc_id", "tx", "p.par_no", "p.par")
-    split = F.split("par", "\n", -1)
-    each = F.filter(F.transform(split, lambda x, i: F.struct(i.alias("line_no"), x.alias("line"))), lambda x: interesting(x["line"]))
-    joined = F.when(F.size(split) > 1, F.array(F.struct(F.lit(-1).alias("line_no"), F.array_join(split, " ").alias("line")))).otherwise(F.slice(each, 1, 0))
-    found = staged(pars.select("doc_id", "tx", "par_no", F.explode(F.concat(each, joined)).alias("l")).select("doc_id", "tx", "par_no", "l.line_no", "l.line").dropDuplicates(["doc_id", "tx", "par_no", "line_no"]), "license-found")
-    known = staged(classified(found).where(F.col("family") != NONE), "license-known").withColumnRenamed("line", "l_")
-    judged = found.join(known, F.col("line") == F.col("l_")).drop("l_")
+    each = docs.select("doc_id", F.unhex(F.md5(text)).alias("tx"), F.split(text, "\n", -1).alias("__all"))
+    each = each.withColumn("__at", F.filter(F.transform("__all", lambda x, i: F.when(interesting(x), i)), lambda i: i.isNotNull()))
+    each = each.where(F.size("__at") > 0).select("doc_id", "tx", "__all", F.explode(F.transform("__at", lambda i, k: F.struct(i.alias("i"), (i - F.get("__at", k - 1)).alias("far")))).alias("x"))
+    gap = F.when(F.col("x.far") == 2, bare(F.get("__all", F.col("x.i") - 1)))
+    each = each.select("doc_id", "tx", F.col("x.i").alias("line_no"), F.col("x.far").alias("far"), gap.alias("gap"), bare(F.get("__all", F.col("x.i"))).alias("line")).dropDuplicates(["doc_id", "tx", "line_no"])
+    near = (F.col("far") == 1) | (F.col("far") == 2) & F.col("gap").rlike(r"[^\x20\x09-\x0D]")
+    each = each.withColumn("par_no", F.count_if(~F.coalesce(near, F.lit(False))).over(W.partitionBy("doc_id", "tx").orderBy("line_no")))
+    each = staged(each, "license-stretches")
+    # The lines of a stretch follow each other, so what is gathered is one notice.
+    joined = each.groupBy("doc_id", "tx", "par_no").agg(F.count(F.lit(1)).alias("c"), F.sort_array(F.collect_list(F.struct("line_no", "gap", "line", "far"))).alias("parts")).where("c > 1")
+    pieces = F.transform("parts", lambda x, k: F.concat_ws(" ", F.when(k > 0, x["gap"]), x["line"]))
+    joined = staged(joined.select("doc_id", "tx", "par_no", F.lit(-1).alias("line_no"), F.array_join(pieces, " ").alias("line")), "license-joined")
+    found = each.select("doc_id", "tx", "par_no", "line_no", "line").unionByName(joined).withColumn("id", line_id())
+    known = staged(classified(found).where(F.col("family") != NONE), "license-known").withColumnRenamed("id", "i_")
+    judged = found.join(known, F.col("id") == F.col("i_")).drop("i_", "id")
     sure, whole = F.col("family") != UNKNOWN, F.col("line_no") < 0
     par = W.partitionBy("doc_id", "tx", "par_no")
     judged = judged.withColumns({"by_line": F.count_if(sure & ~whole).over(par), "by_par": F.count_if(sure & whole).over(par)})
