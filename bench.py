@@ -1,7 +1,8 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
 Each query runs once to warm up and is then timed over its whole result. ``reconcile_<rows>`` is a whole run of
-a specification with six checks over generated rows, identical on both sides.
+a specification with six checks over generated rows, identical on both sides. ``duckdb`` has the warm seconds of each
+query's SQL in DuckDB on the same machine, tables and threads.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from tessella.plans import catalog
 from tessella.plans.run import reconcile
 
 QUERIES = ("coverage_summary", "coverage_details", "coverage_scoped", "key_integrity_dups", "field_mapped", "field_normalized", "field_numeric_tol", "field_pct_tol", "field_date_tol", "filter_nested", "control_total", "agg_sum", "agg_composite", "child_coverage", "child_orphans", "object_rollup", "identity_components", "identity_merge_split", "exceptions_net", "materiality_gate", "first_divergence", "run_diff", "profile_columns")
-ROWS = 100_000
+ROWS = (100_000, 1_000_000)
 
 
 def fixture(spark: SparkSession, rows: int):
@@ -47,6 +48,24 @@ SPEC = {
 }
 
 
+def beside(sf: str, threads: int) -> dict[str, float]:
+    """Warm seconds of the queries' SQL in DuckDB."""
+    try:
+        import duckdb
+    except ModuleNotFoundError:
+        return {}
+    con, seconds = duckdb.connect(), {}
+    con.execute(f"set threads = {threads}")
+    for t in catalog.TABLES:
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    for name in QUERIES:
+        for _ in range(2):
+            began = time.perf_counter()
+            con.execute(f"create or replace temp table timed as {catalog.SQL[name]}")
+            seconds[name] = round(time.perf_counter() - began, 3)
+    return seconds
+
+
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
@@ -62,17 +81,18 @@ def main() -> None:
 
     for name in QUERIES:
         timed(name, lambda f=catalog.QUERIES[name]: f(spark, sf).write.format("noop").mode("overwrite").save())
-    at = Path(os.environ.get("BENCH_TMP", "/tmp")) / f"tessella-bench-{os.getpid()}"
-    fixture(spark, ROWS).write.parquet(str(at))
-
-    def run() -> None:
-        side = spark.read.parquet(str(at))
-        found = reconcile(spark, SPEC, frames={"source": side, "target": side})
-        if found["status"] != "passed" or found["summary"]["matched_records"] != ROWS:
-            sys.exit(f"the fixture did not pass: {found['summary']}")
-
-    timed(f"reconcile_{ROWS}", run)
-    print(json.dumps({"metric": "total seconds of warm queries", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": Path(sf).name}))
+    for rows in ROWS:
+        at = Path(os.environ.get("BENCH_TMP", "/tmp")) / f"tessella-bench-{os.getpid()}-{rows}"
+        fixture(spark, rows).write.parquet(str(at))
+
+        def run(at: Path = at, rows: int = rows) -> None:
+            side = spark.read.parquet(str(at))
+            found = reconcile(spark, SPEC, frames={"source": side, "target": side})
+            if found["status"] != "passed" or found["summary"]["matched_records"] != rows:
+                sys.exit(f"the fixture did not pass: {found['summary']}")
+
+        timed(f"reconcile_{rows}", run)
+    print(json.dumps({"metric": "total seconds of warm queries", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": Path(sf).name, "duckdb": beside(sf, int(cpus))}))
 
 
 if __name__ == "__main__":
