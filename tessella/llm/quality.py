@@ -5,6 +5,11 @@ merge by adding counts, so they are built with partial aggregation, give the sam
 the partitioning, and the sketch of a language is the sum of its sources' sketches. DataFrame
 functions only.
 
+Thresholds are set on measures that nearly every text has some of, so that a group's quartiles have a width: the share
+of marks among the characters of words, the repetition of words, and their mean length. A measure that is 0 for most
+texts has no quartiles to speak of, and a constant would decide. As the noise of a mean falls with the root of the
+number of words, a text of fewer words than its group's median has limits that are wider by that root.
+
 Rows: null text counts as empty. Null language and null source are groups of their own. Repeated rows
 are judged alike and all returned. Very long texts are measured whole. Other columns of the input, whatever their
 names, are ignored by the measures.
@@ -23,11 +28,16 @@ from .tables import BLANKS, SPACE, empty_safe_text, staged
 #: Bucket ``b`` of a sketch holds values in ``(GAMMA ** (b - 1), GAMMA ** b]``.
 GAMMA = 1.02
 SYMBOLS = "#*$%&|<>"
+#: Characters of words that are neither letters nor digits.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" + "¡¿«»‘’“”„…–—·、。「」『』《》【】（）！？，：；"
 
 
 @dataclass(frozen=True)
 class Fence:
-    """Accept ``[q1 - reach * spread, q3 + reach * spread]`` where spread = max(q3 - q1, least)."""
+    """Accept ``[q1 - reach * spread, q3 + reach * spread]`` where spread = max(q3 - q1, least).
+
+    The reach grows by the root of (median words of the group / words of the text) for texts below that median.
+    """
 
     measure: str
     reach: float
@@ -35,12 +45,15 @@ class Fence:
     low: bool = False
 
 
-#: Production parameters. ``least`` keeps a group in which all documents agree from rejecting its first outlier.
+#: Production parameters. ``least`` only guards groups in which all documents agree; it is far below the widths of others.
 FENCES = (
-    Fence("symbol_ratio", 3.0, 0.03),
-    Fence("dup_line_ratio", 3.0, 0.15),
-    Fence("mean_word", 4.0, 0.75, low=True),
+    Fence("mark_ratio", 4.0, 0.001),
+    Fence("repetition", 4.0, 0.002),
+    Fence("mean_word", 4.0, 0.02, low=True),
 )
+#: Sketched for its median alone.
+WORDS = "n_words"
+QUARTILES = ("q1", "q2", "q3")
 MIN_ROWS = 200
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -58,6 +71,8 @@ def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
         n.cast("long").alias("n_words"),
         F.length(F.translate("__t", BLANKS, "")).cast("long").alias("word_chars"),
         (F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.length("__t") - F.length(F.translate("__t", MARKS, ""))).cast("long").alias("n_marks"),
+        F.size(F.array_distinct("__w")).cast("long").alias("n_distinct"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         F.size("__l").cast("long").alias("n_lines"),
         F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("__w", i, WINDOW)))).alias("__h"),
@@ -79,11 +94,11 @@ def measures(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 def ratios() -> dict[str, Column]:
     """The measures that thresholds are set on."""
-    words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    least = lambda c, n: F.greatest(F.col(c), F.lit(n)).cast("double")
     return {
-        "symbol_ratio": F.col("n_symbols") / words,
-        "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)).cast("double"),
-        "mean_word": F.col("word_chars") / words,
+        "mark_ratio": F.col("n_marks") / least("word_chars", 1),
+        "repetition": F.lit(1.0) - F.log(least("n_distinct", 1)) / F.log(least("n_words", 2)),
+        "mean_word": F.col("word_chars") / least("n_words", 1),
     }
 
 
@@ -98,8 +113,9 @@ def value(b: Column) -> Column:
 
 
 def sketches(rows: DataFrame, by: list[str]) -> DataFrame:
-    """One row per group, measure and bucket with its count; ``rows`` has the columns of ``ratios``."""
-    each = F.array(*[F.struct(F.lit(f.measure).alias("measure"), bucket(F.col(f.measure)).alias("bucket")) for f in FENCES])
+    """One row per group, measure and bucket with its count; ``rows`` has the columns of ``ratios`` and n_words."""
+    names = [*(f.measure for f in FENCES), WORDS]
+    each = F.array(*[F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).alias("bucket")) for m in names])
     return rows.select(*by, F.explode(each).alias("m")).groupBy(*by, F.col("m.measure").alias("measure"), F.col("m.bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -109,37 +125,36 @@ def merged(sketch: DataFrame, by: list[str]) -> DataFrame:
 
 
 def quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Rows, lower and upper quartile of each group and measure."""
+    """Rows, lower quartile, median and upper quartile of each group and measure."""
     group = W.partitionBy(*by, "measure")
     run = group.orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
     s = sketch.withColumns({"upto": F.sum("n").over(run), "rows": F.sum("n").over(group)})
     at = lambda q: value(F.min(F.when(F.col("upto") >= F.col("rows") * q, F.col("bucket"))))
-    return s.groupBy(*by, "measure").agg(F.max("rows").alias("rows"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+    return s.groupBy(*by, "measure").agg(F.max("rows").alias("rows"), at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """One row per language and source with ``<measure>_lo`` and ``<measure>_hi``.
+    """One row per language and source with ``<measure>_q1``, ``_q3`` and ``_reach``, and ``typical_words``.
 
     A group of fewer than MIN_ROWS rows takes its language's quartiles, a language of fewer takes those
     of all rows; both come from merged sketches.
     """
     own = quartiles(sketch, ["lang", "source"])
-    lang = quartiles(merged(sketch, ["lang"]), ["lang"]).select(F.col("lang").alias("lang_"), F.col("measure").alias("m_"), *[F.col(c).alias(f"lang_{c}") for c in ("rows", "q1", "q3")])
-    all_ = quartiles(merged(sketch, []), []).select(F.col("measure").alias("all_m"), F.col("q1").alias("all_q1"), F.col("q3").alias("all_q3"))
+    lang = quartiles(merged(sketch, ["lang"]), ["lang"]).select(F.col("lang").alias("lang_"), F.col("measure").alias("m_"), *[F.col(c).alias(f"lang_{c}") for c in ("rows", *QUARTILES)])
+    all_ = quartiles(merged(sketch, []), []).select(F.col("measure").alias("all_m"), *[F.col(q).alias(f"all_{q}") for q in QUARTILES])
     t = own.join(lang, F.col("lang").eqNullSafe(F.col("lang_")) & (F.col("measure") == F.col("m_"))).join(all_, F.col("measure") == F.col("all_m"))
-    for q in ("q1", "q3"):
+    for q in QUARTILES:
         t = t.withColumn(q, F.when(F.col("rows") >= MIN_ROWS, F.col(q)).when(F.col("lang_rows") >= MIN_ROWS, F.col(f"lang_{q}")).otherwise(F.col(f"all_{q}")))
-    limits = []
+    limits = [F.max(F.when(F.col("measure") == WORDS, F.col("q2"))).alias("typical_words")]
     for f in FENCES:
-        spread = f.reach * F.greatest(F.col("q3") - F.col("q1"), F.lit(f.least))
         mine = F.col("measure") == f.measure
-        limits.append(F.max(F.when(mine, F.col("q3") + spread)).alias(f"{f.measure}_hi"))
-        limits.append(F.max(F.when(mine, F.col("q1") - spread if f.low else F.lit(float("-inf")))).alias(f"{f.measure}_lo"))
+        limits += [F.max(F.when(mine, F.col(q))).alias(f"{f.measure}_{q}") for q in ("q1", "q3")]
+        limits.append(F.max(F.when(mine, f.reach * F.greatest(F.col("q3") - F.col("q1"), F.lit(f.least)))).alias(f"{f.measure}_reach"))
     return t.groupBy("lang", "source").agg(*limits)
 
 
 def quality_rules(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (default: doc_id, lang, source), the measures, the group's limits and ``kept`` for every row.
+    """``keep`` (default: doc_id, lang, source), the measures, their limits (``<measure>_lo``, ``_hi``) and ``kept`` for every row.
 
     A row is kept if it passes the base rules and each measure lies within its group's limits. An empty
     table gives an empty result.
@@ -147,11 +162,17 @@ def quality_rules(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     keep = keep or ["doc_id", "lang", "source"]
     rows = staged(measures(docs, keep).withColumns(ratios()), "quality")
     limits = thresholds(sketches(rows, ["lang", "source"])).withColumnsRenamed({"lang": "__of_lang", "source": "__of_source"})
+    joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("__of_lang")) & F.col("source").eqNullSafe(F.col("__of_source")))
+    wider = F.sqrt(F.greatest(F.lit(1.0), F.col("typical_words") / F.greatest(F.col("n_words"), F.lit(1)).cast("double")))
+    joined = joined.withColumn("__wider", wider)
     inside = F.lit(True)
     for f in FENCES:
-        inside = inside & (F.col(f.measure) >= F.col(f"{f.measure}_lo")) & (F.col(f.measure) <= F.col(f"{f.measure}_hi"))
-    joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("__of_lang")) & F.col("source").eqNullSafe(F.col("__of_source")))
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("__of_lang", "__of_source")
+        m = f.measure
+        lo = F.col(f"{m}_q1") - F.col(f"{m}_reach") * F.col("__wider") if f.low else F.lit(float("-inf"))
+        joined = joined.withColumns({f"{m}_lo": lo, f"{m}_hi": F.col(f"{m}_q3") + F.col(f"{m}_reach") * F.col("__wider")})
+        inside = inside & (F.col(m) >= F.col(f"{m}_lo")) & (F.col(m) <= F.col(f"{m}_hi"))
+        joined = joined.drop(f"{m}_q1", f"{m}_q3", f"{m}_reach")
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("__of_lang", "__of_source", "__wider")
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:

@@ -43,18 +43,22 @@ def quality_sql() -> str:
     step = f"ln({quality.GAMMA})"
     value = f"case when b > {floor} then 2.0 * pow({quality.GAMMA}, b) / (1 + {quality.GAMMA}) else 0.0 end"
     each = " union all ".join(f"select lang, source, '{f.measure}' as m, case when {f.measure} > 0 then cast(ceil(ln({f.measure}) / {step}) as bigint) else {floor} end as b from r" for f in quality.FENCES)
+    each += f" union all select lang, source, '{quality.WORDS}' as m, case when n_words > 0 then cast(ceil(ln(n_words) / {step}) as bigint) else {floor} end as b from r"
+    marks = quality.MARKS.replace("'", "''")
 
     def quartiles(by: str) -> str:
         group = f"partition by {by}m" if by else "partition by m"
-        return f"select {by}m, max(rows) as rows, min(case when upto >= rows * 0.25 then {value} end) as q1, min(case when upto >= rows * 0.75 then {value} end) as q3 from (select *, sum(n) over ({group} order by b rows unbounded preceding) as upto, sum(n) over ({group}) as rows from (select {by}m, b, count(*) as n from k group by all)) group by {by}m"
+        return f"select {by}m, max(rows) as rows, min(case when upto >= rows * 0.25 then {value} end) as q1, min(case when upto >= rows * 0.5 then {value} end) as q2, min(case when upto >= rows * 0.75 then {value} end) as q3 from (select *, sum(n) over ({group} order by b rows unbounded preceding) as upto, sum(n) over ({group}) as rows from (select {by}m, b, count(*) as n from k group by all)) group by {by}m"
 
-    limits = []
+    limits = [f"max(case when m = '{quality.WORDS}' then q2 end) as typical"]
+    inside = []
     for f in quality.FENCES:
-        spread = f"{f.reach} * greatest(q3 - q1, {f.least})"
-        limits.append(f"max(case when m = '{f.measure}' then q3 + {spread} end) as {f.measure}_hi")
-        limits.append(f"max(case when m = '{f.measure}' then q1 - {spread} end) as {f.measure}_lo" if f.low else f"cast('-infinity' as double) as {f.measure}_lo")
+        m = f.measure
+        limits += [f"max(case when m = '{m}' then {q} end) as {m}_{q}" for q in ("q1", "q3")]
+        limits.append(f"max(case when m = '{m}' then {f.reach} * greatest(q3 - q1, {f.least}) end) as {m}_reach")
+        wider = "sqrt(greatest(1.0, typical / cast(greatest(n_words, 1) as double)))"
+        inside.append(f"r.{m} <= x.{m}_q3 + x.{m}_reach * {wider}" + (f" and r.{m} >= x.{m}_q1 - x.{m}_reach * {wider}" if f.low else ""))
     pick = lambda q: f"case when o.rows >= {quality.MIN_ROWS} then o.{q} when l.rows >= {quality.MIN_ROWS} then l.{q} else a.{q} end as {q}"
-    inside = " and ".join(f"r.{f.measure} >= x.{f.measure}_lo and r.{f.measure} <= x.{f.measure}_hi" for f in quality.FENCES)
     return f"""
 with w as (select doc_id, lang, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{SPACED}') as w from documents),
 l0 as (select *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{SPACED}')) as ls from w),
@@ -62,14 +66,14 @@ v as (select doc_id, unnest(range(1, len(w) - 6)) as i, w from w where len(w) >=
 v8 as (select doc_id, i, array_to_string(w[i:i + 7], ' ') as g from v),
 d8 as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as c from v8) where c > 1),
 p as (select doc_id, count(distinct q) as n from (select doc_id, unnest(range(i, i + 8)) as q from d8) group by doc_id),
-m as (select l0.doc_id, lang, source, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines, len(ls) as n_lines, coalesce(p.n, 0) as n_repeat_words from l0 left join p on p.doc_id = l0.doc_id),
-r as (select *, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words as base_failed, cast(n_symbols as double) / greatest(n_words, 1) as symbol_ratio, cast(n_dup_lines as double) / greatest(n_lines, 1) as dup_line_ratio, cast(word_chars as double) / greatest(n_words, 1) as mean_word from m),
+m as (select l0.doc_id, lang, source, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as n_symbols, len(ls) - len(list_distinct(ls)) as n_dup_lines, length(t) - length(translate(t, '{marks}', '')) as n_marks, len(list_distinct(w)) as n_distinct, coalesce(p.n, 0) as n_repeat_words from l0 left join p on p.doc_id = l0.doc_id),
+r as (select *, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words as base_failed, cast(n_marks as double) / greatest(word_chars, 1) as mark_ratio, 1.0::double - ln(greatest(n_distinct, 1)::double) / ln(greatest(n_words, 2)::double) as repetition, cast(word_chars as double) / greatest(n_words, 1) as mean_word from m),
 k as ({each}),
 o as ({quartiles("lang, source, ")}),
 l as ({quartiles("lang, ")}),
 a as ({quartiles("")}),
-x as (select lang, source, {", ".join(limits)} from (select o.lang, o.source, o.m, {pick("q1")}, {pick("q3")} from o join l on o.lang is not distinct from l.lang and o.m = l.m join a on o.m = a.m) group by lang, source)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {inside} as kept from r join x on r.lang is not distinct from x.lang and r.source is not distinct from x.source"""
+x as (select lang, source, {", ".join(limits)} from (select o.lang, o.source, o.m, {pick("q1")}, {pick("q2")}, {pick("q3")} from o join l on o.lang is not distinct from l.lang and o.m = l.m join a on o.m = a.m) group by lang, source)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and {" and ".join(inside)} as kept from r join x on r.lang is not distinct from x.lang and r.source is not distinct from x.source"""
 
 
 def oracle_sql() -> dict[str, str]:

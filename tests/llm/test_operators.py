@@ -122,11 +122,27 @@ def test_quality(docs):
 
 
 def test_quality_sketches_merge(spark):
-    rows = spark.range(1000).selectExpr("'en' as lang", "cast(id % 2 as string) as source", "(id + 1) / 10.0D as symbol_ratio", "0.0D as dup_line_ratio", "5.0D as mean_word")
+    rows = spark.range(1000).selectExpr("'en' as lang", "cast(id % 2 as string) as source", "(id + 1) / 10.0D as mark_ratio", "0.0D as repetition", "5.0D as mean_word", "id as n_words")
     s = quality.sketches(rows, ["lang", "source"])
     q = {r["measure"]: r for r in quality.quartiles(quality.merged(s, ["lang"]), ["lang"]).collect()}
-    assert q["symbol_ratio"]["rows"] == 1000 and abs(q["symbol_ratio"]["q1"] - 25) < 0.6 and abs(q["symbol_ratio"]["q3"] - 75) < 1.6
-    assert q["dup_line_ratio"]["q3"] == 0
+    assert q["mark_ratio"]["rows"] == 1000 and abs(q["mark_ratio"]["q1"] - 25) < 0.6 and abs(q["mark_ratio"]["q3"] - 75) < 1.6
+    assert q["repetition"]["q3"] == 0 and abs(q["n_words"]["q2"] - 500) < 10
+
+
+def test_quality_limits_follow_the_group(spark):
+    def text(r, marks, n):
+        return " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) + ("," if r.random() < marks else "") for _ in range(n))
+
+    r = random.Random(5)
+    rows = [(i, "en", s, text(r, marks, r.randint(60, 300))) for i, (s, marks) in enumerate([("prose", 0.1), ("tables", 0.8)] * 300)]
+    odd = [(1000, "en", "prose", text(r, 0.8, 150)), (1001, "en", "tables", text(r, 0.8, 150)), (1002, "en", "prose", text(r, 0.1, 25)), (1003, "en", "prose", " ".join(["word"] * 6 + [str(i) for i in range(20)]) + " x" * 60), (1004, "en", "few", text(r, 0.1, 90))]
+    odd += [(1005, None, None, None), (1006, "en", "prose", "")]
+    docs = spark.createDataFrame([*rows, *odd], "doc_id long, lang string, source string, text string")
+    judged = {x["doc_id"]: x for x in quality.quality_rules(docs).collect()}
+    assert not judged[1000]["kept"] and judged[1001]["kept"] and judged[1002]["kept"] and not judged[1003]["kept"] and judged[1004]["kept"]
+    assert not judged[1005]["kept"] and not judged[1006]["kept"]
+    assert judged[0]["mark_ratio_hi"] < judged[1]["mark_ratio_hi"] and judged[1002]["mark_ratio_hi"] > judged[1000]["mark_ratio_hi"]
+    assert sum(judged[i]["kept"] for i in range(600)) >= 590
 
 
 def test_mixing_reaches_targets(spark):
