@@ -44,7 +44,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.scores(table(spark, sf_dir, "documents"))
+    return lm_score.scores(table(spark, sf_dir, "documents"), memory=1)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,9 +40,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     files.deleteOnExit(place)
     schema = df.schema
     del df
+    freed(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def freed(spark: SparkSession) -> None:
+    """Collects the driver's garbage, so that Spark deletes the shuffle files of plans that nobody holds."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
 
 
 def _files(spark: SparkSession, path: str):

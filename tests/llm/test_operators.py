@@ -339,6 +339,31 @@ def test_lm_knows_documents_that_occur_twice(spark):
     assert min(twice) > max(got[i]["mean_log_prob"] for i in range(6, 60)) and all(got[i]["n_recalled"] > 0 for i in range(6))
 
 
+def test_lm_learns_from_every_token(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "BATCH", 64)
+    rows = [(i, " ".join("abcdefgh" * 20)) for i in range(60)]
+    _, _, net = lm_score.model(frame(spark, rows).repartition(2))
+    number = lambda w: int(net.numbers(next(lm_score.words([w.encode()], lm_score.SPACED))[1].hashes)[0])
+    for k in range(2, 6):
+        a, b, c, d, e = (number(w) for w in "abcdefgh"[k - 2 : k + 3])
+        assert net.log_probabilities(np.array([[a, b, d, e]]), np.array([c]))[0] > np.log(0.5)
+
+
+def test_lm_remembers_every_window(spark, monkeypatch):
+    r = random.Random(6)
+    some = [" ".join(f"w{r.randrange(3000)}" for _ in range(90)) for _ in range(40)]
+    docs = frame(spark, list(enumerate([*some, some[0], None, ""])))
+    kept = lm_score.model(docs)
+    got = {x["doc_id"]: x for x in lm_score.scores(docs, lambda _: kept, 1).collect()}
+    assert got[0]["n_recalled"] == got[40]["n_recalled"] == got[0]["n_tokens"] == 90 and got[0]["log_prob"] > got[1]["log_prob"] / 3
+    assert all(got[i]["n_recalled"] == 0 for i in range(1, 40)) and (got[41]["n_tokens"], got[42]["log_prob"]) == (0, 0)
+    # Chunks of a few texts, many buckets, and tokens that go as a whole change nothing.
+    for name, value in (("SENT", 500), ("BUCKET", 64), ("LEAST", -6.0)):
+        monkeypatch.setattr(lm_score, name, value)
+    again = {x["doc_id"]: x for x in lm_score.scores(docs, lambda _: kept, 1).collect()}
+    assert all(again[i]["n_recalled"] == got[i]["n_recalled"] and abs(again[i]["log_prob"] - got[i]["log_prob"]) < 1e-3 for i in got)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="<p>no</p>";</script></head><body>
 <header>Site</header><nav><ul><li><a href="/">Home</a></ul></nav><div class="ad">Buy</div><aside>Side</aside>{body}
 <form><input value=x>Mail</form><div id="comments"><p>First!</p></div><div class='cookie-notice'>We use</div><footer>&copy; us</footer></body></html>"""
