@@ -119,13 +119,16 @@ def met(keyed: DataFrame, *more: Column) -> DataFrame:
 
 
 def pairs_of(asking: DataFrame, all_: DataFrame, edits: int) -> DataFrame:
-    """no, other of lines that share a key and whose lengths and letters are within the bound."""
+    """no, other of lines that share a key and whose lengths and letters are within the bound. In crowds, where lines have
+    their place and their letters, other is an earlier line: a line asks for one, and is asked by all later ones.
+    """
     counts = [c for c in all_.columns if c.startswith("has_")]
-    a = asking.select("no", "n", "h", *counts)
-    b = all_.select(F.col("no").alias("other"), F.col("n").alias("n_"), F.col("h").alias("h_"), *[F.col(c).alias(f"{c}_") for c in counts])
-    meet = (F.col("h") == F.col("h_")) & (F.col("no") != F.col("other")) & (F.abs(F.col("n") - F.col("n_")) <= edits)
+    more = ["at"] if counts else []
+    a = asking.select("no", "n", "h", *more, *counts)
+    b = all_.select(F.col("no").alias("other"), F.col("n").alias("n_"), F.col("h").alias("h_"), *[F.col(c).alias(f"{c}_") for c in [*more, *counts]])
+    meet = (F.col("h") == F.col("h_")) & (F.abs(F.col("n") - F.col("n_")) <= edits)
     if counts:
-        meet = meet & (sum((F.abs(F.col(c) - F.col(f"{c}_")) for c in counts), F.lit(0)) <= 2 * edits)
+        meet = meet & (F.col("at") > F.col("at_")) & (sum((F.abs(F.col(c) - F.col(f"{c}_")) for c in counts), F.lit(0)) <= 2 * edits)
     else:
         meet = meet & (F.col("no") < F.col("other"))
     return a.join(b, meet).select("no", "other").distinct()

@@ -245,6 +245,13 @@ def test_line_dedup_of_short_lines_and_of_several_edits(spark, crowd, monkeypatc
     assert cleaned[0] == "All rights reserved.\n\n " and cleaned[1] == "x" and cleaned[2] == "X"
 
 
+def test_line_dedup_asks_for_earlier_lines_only(spark):
+    crowd = spark.range(30).selectExpr("id AS no", "struct(30 - id AS doc_id, 0 AS line_no) AS at", "80 AS n", "7L AS h", "3 AS has_e")
+    for asking, wanted in ((29, 0), (0, 29), (20, 9)):
+        got = line_dedup.pairs_of(crowd.where(f"no = {asking}"), crowd, 4)
+        assert [r["other"] for r in got.orderBy("other").collect()] == list(range(30))[30 - wanted :]
+
+
 def test_licenses(spark):
     known = {"MIT": "Released under the MIT License.", "GPL": "This work is licensed under the GNU General Public License, version 3.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "CC-BY-NC": "Licensed under CC BY-NC 4.0."}
     rows = [(i, f"some prose here\n{t}\nand more") for i, t in enumerate(known.values())]
