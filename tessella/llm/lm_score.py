@@ -14,7 +14,7 @@ log-probabilities of its tokens.
    are counted with the words they hold, all over the corpus, the token itself left out. With c other occurrences the
    prediction is ``(network * KAPPA + count among them) / (c + KAPPA)``. This is a distribution too. A text that repeats
    itself is recalled by its own other tokens. Each token in such a window is sent once, packed into
-   12 bytes or so, to the bucket of its window's hash. Two windows are taken as equal if the bucket and 48 further bits of
+   12 bytes or so (fewer if a chunk of texts holds it twice), to the bucket of its window's hash. Two windows are taken as equal if the bucket and 48 further bits of
    their hashes agree, two words of a window if 24 bits do; a logarithm that is sent is rounded to 2 ** -17, and what memory
    adds to a row is summed from floats.
 
@@ -156,9 +156,9 @@ class Network:
         h = self.forward(window[order])[1]
         got = np.empty(len(word))
         for a in range(0, len(word), PART):
-            got[a : a + PART] = log_softmax(h[a : a + PART] @ self.classes, c[a : a + PART])
+            got[a : a + PART] = log_softmax(h[a : a + PART], self.classes, c[a : a + PART])
         for a, b, first, end in self.larger(runs):
-            got[a:b] += log_softmax(h[a:b] @ self.members[first:end].T, word[a:b] - first)
+            got[a:b] += log_softmax(h[a:b], self.members[first:end].T, word[a:b] - first)
         out = np.empty(len(word))
         out[order] = got
         return out
@@ -171,26 +171,28 @@ class Network:
         return np.where(self.rest[at] == hashes, self.share[at], np.nan)
 
 
-def log_softmax(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The logarithm of the softmax of each row of ``z``, which is overwritten, at one place."""
-    bounded(z)
+def log_softmax(h: np.ndarray, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The logarithm of the softmax of each row of ``h @ weights`` at one place."""
+    z = product(h, weights)
     picked = z[np.arange(len(z)), at].astype(np.float64)
     np.exp(z, out=z)
     return picked - np.log(z @ np.ones(z.shape[1], np.float32))
 
 
-def softmax(z: np.ndarray, scale: float) -> np.ndarray:
-    """``scale`` times the softmax of each row of ``z``, which is overwritten."""
-    bounded(z)
+def softmax(h: np.ndarray, weights: np.ndarray, scale: float) -> np.ndarray:
+    """``scale`` times the softmax of each row of ``h @ weights``."""
+    z = product(h, weights)
     np.exp(z, out=z)
     z *= (np.float32(scale) / (z @ np.ones(z.shape[1], np.float32)))[:, None]
     return z
 
 
-def bounded(z: np.ndarray) -> None:
-    """Takes each row's maximum from it, unless all of ``z`` is small enough for the exponential and its sums."""
-    if len(z) and (z.max() > 60 or z.min() < -60):
+def product(h: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """``h @ weights`` but for a number in each row. No unit of ``h`` is beyond 1, so small weights need no maximum taken off."""
+    z = h @ weights
+    if np.abs(weights).sum(0).max() > 60:
         z -= z.max(1, keepdims=True)
+    return z
 
 
 def untrained(hashes: np.ndarray, counts: np.ndarray, others: int, seed: int = 5) -> Network:
@@ -244,12 +246,12 @@ class Learner:
         back, gradient = np.empty((n, WIDTH), np.float32), np.zeros_like(net.classes)
         for a in range(0, n, PART):
             part = h[a : a + PART]
-            p = softmax(part @ net.classes, share)
+            p = softmax(part, net.classes, share)
             p[np.arange(len(p)), c[a : a + PART]] -= share
             np.matmul(p, net.classes[:-1].T, out=back[a : a + PART])
             gradient += part.T @ p
         for a, b, first, end in net.larger(runs):
-            q = softmax(h[a:b] @ net.members[first:end].T, share)
+            q = softmax(h[a:b], net.members[first:end].T, share)
             q[np.arange(b - a), word[a:b] - first] -= share
             back[a:b] += q @ net.members[first:end, :-1]
             self.move(3, slice(first, end), q.T @ h[a:b], b - a)
@@ -363,25 +365,43 @@ def numbers_of(data: memoryview, n: int, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def packed(keys: np.ndarray, word: np.ndarray, logs: np.ndarray, row: np.ndarray, open_: np.ndarray, unknown: np.ndarray) -> bytes:
+def packed(keys: np.ndarray, word: np.ndarray, logs: np.ndarray, row: np.ndarray, open_: np.ndarray, unknown: np.ndarray, like: np.ndarray, like_row: np.ndarray) -> bytes:
     """Tokens of a bucket in the order of their texts. open_: the word's count isn't known yet, or the token is too unlikely
-    for three bytes, so they go as a whole.
+    for three bytes, so they go as a whole. like, like_row: the places of tokens that others equal, and the others' rows.
     """
     at = np.flatnonzero(open_)
     cost = np.where(open_, 0, np.maximum(np.rint(logs * -STEPS), 0))
-    head = np.array([len(keys), len(at)], "<u8").tobytes()
+    head = np.array([len(keys), len(at), len(like)], "<u8").tobytes()
     rows = planes(np.diff(row, prepend=0), 2)
-    return b"".join((head, planes(keys, KEY_BITS // 8), planes(word, WORD_BITS // 8), planes(cost, 3), rows, planes(at, 4), planes(np.where(unknown[at], word[at], U(0)), 8), logs[at].astype("<f4").tobytes()))
+    return b"".join((head, planes(keys, KEY_BITS // 8), planes(word, WORD_BITS // 8), planes(cost, 3), rows, planes(at, 4), planes(np.where(unknown[at], word[at], U(0)), 8), planes(like, 4), planes(like_row, 2), logs[at].astype("<f4").tobytes()))
 
 
 def unpacked(data: bytes) -> tuple[np.ndarray, ...]:
     """keys, word, logs and row of each token, and the places, words (0: known) and logs of those that go as a whole."""
-    n, m = (int(x) for x in np.frombuffer(data, "<u8", 2))
-    view, at, got = memoryview(data), 16, []
-    for many, width in ((n, KEY_BITS // 8), (n, WORD_BITS // 8), (n, 3), (n, 2), (m, 4), (m, 8)):
+    n, m, more = (int(x) for x in np.frombuffer(data, "<u8", 3))
+    view, at, got = memoryview(data), 24, []
+    for many, width in ((n, KEY_BITS // 8), (n, WORD_BITS // 8), (n, 3), (n, 2), (m, 4), (m, 8), (more, 4), (more, 2)):
         got.append(numbers_of(view[at:], many, width))
         at += many * width
-    return got[0], got[1], got[2].astype(np.float64) / -STEPS, np.cumsum(got[3]).astype(np.int64), got[4].astype(np.int64), got[5], np.frombuffer(data, "<f4", m, at)
+    like = got[6].astype(np.int64)
+    keys, word, cost = (np.concatenate((x, x[like])) for x in got[:3])
+    row = np.concatenate((np.cumsum(got[3]), got[7])).astype(np.int64)
+    return keys, word, cost.astype(np.float64) / -STEPS, row, got[4].astype(np.int64), got[5], np.frombuffer(data, "<f4", m, at)
+
+
+def first_of(keys: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The place of the first token with the same window and the same word, of each token."""
+    first = np.arange(len(keys))
+    order = np.argsort(keys)
+    many = np.diff(np.append(np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]])), len(keys)))
+    again = np.repeat(many > 1, many)
+    cell = np.repeat(np.arange(len(many), dtype=U), many)[again] << U(WORD_BITS) | word[order[again]] & U((1 << WORD_BITS) - 1)
+    at = order[again]
+    by = np.lexsort((at, cell))
+    at, cell = at[by], cell[by]
+    edges = np.flatnonzero(np.diff(cell, prepend=~cell[:1]))
+    first[at] = np.repeat(at[edges], np.diff(np.append(edges, len(at))))
+    return first
 
 
 def occurrences(keys: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -447,8 +467,17 @@ def read(docs: DataFrame, net: Network, buckets: int, memory: int) -> DataFrame:
             keys, word, logs, row, open_, unknown = tokens if kept.all() else (x[kept] for x in tokens)
             keys = mix(keys)
             bucket = keys >> U(64 - bits) if bits else np.zeros(len(keys), U)
-            keys = keys >> U(64 - bits - KEY_BITS) & U((1 << KEY_BITS) - 1)
-            order = np.argsort(bucket.astype(np.min_scalar_type(buckets)), kind="stable")
+            first, place = first_of(keys, word), np.arange(len(keys))
+            first = np.where(open_ | open_[first], place, first)
+            own = first == place
+            keys = keys >> U(max(0, 64 - bits - KEY_BITS)) & U((1 << KEY_BITS) - 1)
+            other = np.flatnonzero(~own)
+            other = other[np.argsort(bucket[other], kind="stable")]
+            order = np.flatnonzero(own)
+            order = order[np.argsort(bucket[order].astype(np.min_scalar_type(buckets)), kind="stable")]
+            place = np.empty(len(first), np.int64)
+            place[order] = np.arange(len(order))
+            others = np.searchsorted(bucket[other], np.arange(buckets + 1, dtype=U))
             bucket = bucket[order].astype(np.int64)
             edges = np.flatnonzero(np.diff(bucket, prepend=-1))
             for many in range(0, len(edges), 64):
@@ -456,7 +485,8 @@ def read(docs: DataFrame, net: Network, buckets: int, memory: int) -> DataFrame:
                 for a, b in zip(edges[many : many + 64], [*edges[1:], len(order)][many : many + 64], strict=True):
                     at = order[a:b]
                     to.append(bucket[a])
-                    blobs.append(packed(keys[at], word[at], logs[at], row[at], open_[at], unknown[at]))
+                    too = other[others[to[-1]] : others[to[-1] + 1]]
+                    blobs.append(packed(keys[at], word[at], logs[at], row[at], open_[at], unknown[at], place[first[too]] - a, row[too]))
                 yield batch_of(doc_kind, np.array(to), chunk, blob=blobs)
 
         for batch in batches:
