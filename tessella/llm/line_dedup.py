@@ -12,12 +12,15 @@ earlier line need not be kept itself.
    edits before it. Pieces are as long as the line's length class says, and are counted from the left in the left
    half and from the right in the right half, so that lengths within a class agree on them. Each line emits the
    hash of what is left, at each place it can have.
-3. Lines that meet are verified by their edit distance. Where more than CROWD lines meet, what they share is
-   taken out and the rest is cut again, as it lies within the same bound. In crowds each line is tried with the
-   earliest line that it meets, then with the earliest one of each key, and only what is left with all others.
-
-Counts of keys are aggregated and joined back, so a key that very many lines share is not gathered. DataFrame functions
-only. Rows: null and empty texts have no lines to compare; blank lines are always kept and may repeat. Rows that share a
+3. Lines that meet are verified by their edit distance. Lines of keys where more than CROWD meet, the crowds, meet
+   by what is rare in them instead. A line with more strings of GRAM characters than its bound that lie apart and
+   that no other has is within the bound of none. The others take their rarest strings, in one order of all, until
+   more than the bound lie apart; two lines within the bound share one of those, whole and in its place. Each line
+   is tried with the earliest one that it meets by each, and only lines that are left with all earlier ones whose
+   lengths before and after the string, letters and strings of their own allow it.
+
+Counts of keys are aggregated and joined back, so a key that very many lines share is not gathered. Strings of lines
+of crowds are counted in windows, whose rows are few numbers and spill. DataFrame functions only. Rows: null and empty texts have no lines to compare; blank lines are always kept and may repeat. Rows that share a
 doc_id, or have none, are told apart by a 128-bit print of their texts, which also is their order; rows that share the
 text too follow each other, and all but the first lose their lines. Very long texts and lines are compared whole. Other
 columns keep their values, whatever their names. An empty table gives no rows.
@@ -29,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .tables import discard, empty_safe_text, numbered, sent_if_small, staged
+from .tables import BLANKS, discard, empty_safe_text, numbered, sent_if_small, staged
 
 #: Lines with fewer characters are compared for equality only.
 MIN_CHARS = 32
@@ -38,13 +41,15 @@ MOST_EDITS = 4
 #: Lines that meet in one key before the rest of them is cut again.
 CROWD = 16
 #: Letters that are counted in lines of a crowd. An edit changes two counts by one at most.
-LETTERS = "etanoirshdlu"
-#: Widths of the length classes of lines, and of what is left of them.
-STEP, REST_STEP = 32, 16
+LETTERS = "etanoirshdluwgbfycmpvk "
+#: Width of the length classes of lines.
+STEP = 32
+#: Characters of the strings by which lines of a crowd meet; lines are cut into stretches first, as places are found by counting characters.
+GRAM, STRETCH = 8, 1024
 
 
 def filled(line: Column) -> Column:
-    return line.rlike(r"[^\x20\x09-\x0D]")
+    return F.ltrim(line, F.lit(BLANKS)) != ""
 
 
 def print_of(docs: DataFrame) -> Column:
@@ -54,8 +59,8 @@ def print_of(docs: DataFrame) -> Column:
 
 def lines(docs: DataFrame) -> DataFrame:
     """doc_id, print, line_no, line of each line that is compared."""
-    each = docs.select("doc_id", print_of(docs).alias("print"), F.posexplode(F.split(empty_safe_text(docs), "\n", -1)).alias("line_no", "line"))
-    return each.where(filled(F.col("line")))
+    once = docs.select("doc_id", print_of(docs).alias("print"), F.split(empty_safe_text(docs), "\n", -1).alias("lines"))  # not for each line
+    return once.select("doc_id", "print", F.posexplode("lines").alias("line_no", "line")).where(filled(F.col("line")))
 
 
 def allowed(n: Column, edits: int) -> Column:
@@ -69,40 +74,72 @@ def places(k: int) -> list[tuple[bool, int, int]]:
     return left + [(True, i, d) for i in range((k + 1) // 2) for d in range(-i, i + 1)]
 
 
-def measured(rows: DataFrame, edits: int, step: int, k: Column | None = None) -> DataFrame:
-    """``rows`` (line) with its length, and base, k and size (of a piece) by its class and by the class below.
+def keys(rows: DataFrame, edits: int) -> DataFrame:
+    """no, n and h, the hash of each piece that can be left of a line of ``rows`` (no, n, line), also as shorter lines of the
+    class below see it. A line that repeats itself may have a key twice.
 
-    Columns of their own, so that they are computed once and not for each piece. k: the bound, if the line is
-    what is left of a longer one.
+    The places are exploded first, so that one short expression cuts all pieces.
     """
-    rows = rows.withColumn("__n", F.length("line"))
-    rows = rows.withColumn("__base", (F.col("__n") - F.col("__n") % step).cast("int"))
-    rows = rows.withColumns({"__k": allowed(F.col("__base"), edits) if k is None else k, "__k_below": allowed(F.col("__base") - step, edits) if k is None else k})
-    return rows.withColumns({"__size": F.floor(F.col("__base") / (F.col("__k") + 1)).cast("int"), "__size_below": F.floor((F.col("__base") - step) / (F.col("__k_below") + 1)).cast("int")})
-
-
-def cut(edits: int, step: int, whole: bool = False) -> Column:
-    """Hashes of what can be left of a line of ``measured``, also as shorter lines of the class below see it.
-
-    whole: h, from, size and k of each piece instead.
+    codes = lambda k, below: [4000 * below + 1000 * (k - 1) + 100 * right + 10 * i + d + 5 for right, i, d in places(k)]
+    base = (F.col("n") - F.col("n") % STEP).cast("int")
+    rows = rows.withColumns({"base": base, "k": allowed(base, edits), "k_below": allowed(base - STEP, edits)})
+    rows = rows.withColumn("k_below", F.when((F.col("n") - F.col("k_below") < F.col("base")) & (F.col("base") >= 2 * STEP), F.col("k_below")).otherwise(0))
+    each = F.array().cast("array<int>")
+    for k in range(1, edits + 1):
+        for below in range(k + 1):
+            own = F.array(*[F.lit(c) for c in codes(k, 0) + (codes(below, 1) if below else [])])
+            each = F.when((F.col("k") == k) & (F.col("k_below") == below), own).otherwise(each)
+    rows = rows.select("no", "n", "line", "base", F.explode(each).alias("code"))
+    rows = rows.withColumn("base", F.when(F.col("code") >= 4000, F.col("base") - STEP).otherwise(F.col("base")))
+    part = lambda by, of: F.floor(F.col("code") / by).cast("int") % of
+    rows = rows.withColumns({"size": F.floor(F.col("base") / (part(1000, 4) + 2)).cast("int"), "i": part(10, 10)})
+    at = F.when(part(100, 10) == 1, F.col("n") - (F.col("i") + 1) * F.col("size")).otherwise(F.col("i") * F.col("size")) + F.col("code") % 10 - 4
+    return rows.select("no", "n", F.xxhash64("base", F.floor(F.col("code") / 10) % 400, F.substring("line", at, F.col("size"))).alias("h"))
+
+
+def grams(rows: DataFrame) -> DataFrame:
+    """no, p and g, the place and the hash of each string of GRAM characters of the lines of ``rows`` (no, n, line)."""
+    step = lambda most, by=1: F.explode(F.sequence(F.lit(0), most.cast("int"), F.lit(by)))
+    rows = rows.select("no", "line", step(F.col("n") - GRAM, STRETCH).alias("from"))
+    rows = rows.select("no", "from", F.substring("line", F.col("from") + 1, F.lit(STRETCH + GRAM - 1)).alias("line"))
+    rows = rows.select("no", "from", "line", step(F.length("line") - GRAM).alias("p"))
+    return rows.select("no", (F.col("from") + F.col("p")).alias("p"), F.xxhash64(F.substring("line", F.col("p") + 1, F.lit(GRAM))).alias("g"))
+
+
+def apart(places_: Column) -> Column:
+    """Of the places of strings, sorted, as many as lie apart from each other, up to one more than any bound."""
+    got = F.aggregate(places_, F.array().cast("array<int>"), lambda got, p: F.when((F.size(got) == 0) | (p >= F.element_at(got, -1) + GRAM), F.concat(got, F.array(p))).otherwise(got))
+    return F.slice(got, 1, MOST_EDITS + 1)
+
+
+def rarest(rows: DataFrame, edits: int) -> DataFrame:
+    """no, own, p and h of the rarest strings of each line of ``rows`` (no, n, line) that occur elsewhere.
+
+    In one order of all strings, the rarest first, a line takes strings until its bound and one more lie apart from each
+    other. No more edits than the bound can touch them all, so the line of a pair whose last one is rarer has one that the
+    other line has too, and has among its own. Strings that occur once come first and meet nothing; own: places of those
+    that lie apart.
     """
-
-    def pieces(base: Column, k: Column, size: Column) -> Column:
-        def piece(j: int, right: bool, i: int, d: int) -> Column:
-            at = (F.col("__n") - (i + 1) * size if right else i * size) + (d + 1)
-            h = F.xxhash64(base, F.lit(100 * j + 10 * right + i), F.substring("line", at, size))
-            return F.struct(h.alias("h"), at.alias("from"), size.alias("size"), F.lit(j).alias("k")) if whole else h
-
-        each = F.array(*[piece(edits, *x) for x in places(edits)])
-        for j in range(edits - 1, 0, -1):
-            each = F.when(k == j, F.array(*[piece(j, *x) for x in places(j)])).otherwise(each)
-        return each
-
-    below = F.col("__base") - step
-    own = pieces(F.col("__base"), F.col("__k"), F.col("__size"))
-    also = F.when((F.col("__n") - F.col("__k_below") < F.col("__base")) & (below >= step), pieces(below, F.col("__k_below"), F.col("__size_below")))
-    none = F.array().cast("array<struct<h:bigint,from:int,size:int,k:int>>" if whole else "array<bigint>")
-    return F.concat(own, F.coalesce(also, none))
+    each = grams(rows).withColumn("f", F.count(F.lit(1)).over(W.partitionBy("g"))).select("no", F.struct("f", "g", "p").alias("x"))
+    each = each.groupBy("no").agg(F.sort_array(F.collect_list("x")).alias("xs")).join(rows.select(F.col("no").alias("r_"), allowed(F.col("n"), edits).alias("k")), F.col("no") == F.col("r_"))
+    lone = F.array_sort(F.transform(F.filter("xs", lambda x: x["f"] == 1), lambda x: x["p"]))
+    each = each.select("no", "k", F.filter("xs", lambda x: x["f"] > 1).alias("xs"), apart(lone).alias("own"))
+    start = F.struct(F.col("own").alias("got"), F.lit(0).cast("bigint").alias("f"), F.lit(0).cast("bigint").alias("g"))
+    more = lambda a, x: F.when((F.size(a["got"]) <= F.col("k")) & F.forall(a["got"], lambda p: F.abs(p - x["p"]) >= GRAM), F.struct(F.concat(a["got"], F.array(x["p"])).alias("got"), x["f"].alias("f"), x["g"].alias("g"))).otherwise(a)
+    each = each.select("no", "k", "xs", "own", F.aggregate("xs", start, more).alias("last"))
+    taken = lambda x: (F.size("last.got") <= F.col("k")) | (x["f"] < F.col("last.f")) | ((x["f"] == F.col("last.f")) & (x["g"] <= F.col("last.g")))
+    return each.select("no", "own", F.explode(F.filter("xs", taken)).alias("x")).select("no", "own", F.col("x.p").alias("p"), F.col("x.g").alias("h"))
+
+
+def least_edits(own: Column, other: Column, edits: int) -> Column:
+    """How many edits are needed at least between lines with strings at ``own`` and at ``other`` that the other line lacks: each
+    needs one, and two of them can need the same one only if they overlap, give or take what earlier edits shift them by.
+    """
+    at = lambda ps, side: F.transform(ps, lambda p: F.struct(p.alias("p"), F.lit(side).alias("side")))
+    start = F.struct(F.lit(0).alias("n"), F.lit(-GRAM - edits).alias("p"), F.lit(0).alias("side"))
+    free = lambda a, x: x["p"] >= a["p"] + GRAM + F.when(x["side"] == a["side"], 0).otherwise(edits)
+    more = lambda a, x: F.when(free(a, x), F.struct((a["n"] + 1).alias("n"), x["p"].alias("p"), x["side"].alias("side"))).otherwise(a)
+    return F.aggregate(F.array_sort(F.concat(at(own, 0), at(other, 1))), start, more)["n"]
 
 
 def distinct_lines(docs: DataFrame) -> DataFrame:
@@ -123,12 +160,16 @@ def pairs_of(asking: DataFrame, all_: DataFrame, edits: int) -> DataFrame:
     their place and their letters, other is an earlier line: a line asks for one, and is asked by all later ones.
     """
     counts = [c for c in all_.columns if c.startswith("has_")]
-    more = ["at"] if counts else []
+    more = [c for c in ("at", "p", "own") if c in all_.columns] if counts else []
     a = asking.select("no", "n", "h", *more, *counts)
     b = all_.select(F.col("no").alias("other"), F.col("n").alias("n_"), F.col("h").alias("h_"), *[F.col(c).alias(f"{c}_") for c in [*more, *counts]])
-    meet = (F.col("h") == F.col("h_")) & (F.abs(F.col("n") - F.col("n_")) <= edits)
+    most = allowed(F.least("n", "n_"), edits)
+    meet = (F.col("h") == F.col("h_")) & (F.abs(F.col("n") - F.col("n_")) <= most)
     if counts:
-        meet = meet & (F.col("at") > F.col("at_")) & (sum((F.abs(F.col(c) - F.col(f"{c}_")) for c in counts), F.lit(0)) <= 2 * edits)
+        meet = meet & (F.col("at") > F.col("at_")) & (sum((F.abs(F.col(c) - F.col(f"{c}_")) for c in counts), F.lit(0)) <= 2 * most)
+        if "own" in more:
+            before, after = F.col("p") - F.col("p_"), (F.col("n") - F.col("p")) - (F.col("n_") - F.col("p_"))
+            meet = meet & (F.abs(before) + F.abs(after) <= most) & (least_edits(F.col("own"), F.col("own_"), edits) <= most)
     else:
         meet = meet & (F.col("no") < F.col("other"))
     return a.join(b, meet).select("no", "other").distinct()
@@ -139,8 +180,7 @@ def neighbours(first: DataFrame, edits: int) -> DataFrame:
 
     first: ``distinct_lines``, staged.
     """
-    keyed = measured(first.where(F.col("n") >= MIN_CHARS).select("no", "n", "line"), edits, STEP)
-    keyed = staged(keyed.select("no", "n", F.explode(F.array_distinct(cut(edits, STEP))).alias("h")), "line-keys")
+    keyed = staged(keys(first.where(F.col("n") >= MIN_CHARS).select("no", "n", "line"), edits), "line-keys")
     ends = staged(met(keyed), "line-ends")
     discard(keyed)
     some = sent_if_small(staged(ends.select(F.col("no").alias("s_")).distinct(), "line-some"))
@@ -156,24 +196,16 @@ def neighbours(first: DataFrame, edits: int) -> DataFrame:
         later = F.col("at_a") > F.col("at_b")
         return near.select(F.when(later, F.col("no")).otherwise(F.col("other")).alias("no"), F.greatest("at_a", "at_b").alias("at"), F.least("at_a", "at_b").alias("earlier"))
 
-    # Crowds: what is shared is taken out, and the rest is cut.
-    hot = ends.where(F.col("m") > CROWD).select("no", "h").join(first.withColumnRenamed("no", "f_"), F.col("no") == F.col("f_")).drop("f_")
-    counts = [f"has_{c}" for c in LETTERS]
-    hot = hot.withColumns({f"has_{c}": F.length("line") - F.length(F.translate("line", c, "")) for c in LETTERS})
-    hot = measured(hot, edits, STEP)
-    hot = hot.select("no", "at", "n", *counts, "line", F.explode(F.filter(cut(edits, STEP, whole=True), lambda x: x["h"] == F.col("h"))).alias("c"))
-    rest = F.concat(F.substring("line", F.lit(1), F.col("c.from") - 1), F.substring("line", F.col("c.from") + F.col("c.size"), F.col("n")))
-    hot = measured(hot.select("no", "at", "n", *counts, "c", rest.alias("line")), edits, REST_STEP, F.col("c.k"))
-    hot = hot.select("no", "at", "n", *counts, F.explode(F.array_distinct(F.transform(cut(edits, REST_STEP), lambda x: F.xxhash64(F.col("c.h"), x)))).alias("h"))
-    hot = staged(hot.dropDuplicates(["no", "h"]), "line-rests")
+    # Crowds: lines meet by their rarest strings.
+    hot = ends.where(F.col("m") > CROWD).select(F.col("no").alias("f_")).distinct()
+    hot = first.join(hot, F.col("no") == F.col("f_"), "left_semi")
+    letters = {f"has_{i}": F.length("line") - F.length(F.translate("line", c, "")) for i, c in enumerate(LETTERS)}
+    hot = staged(hot.withColumns(letters), "line-hot")
+    rare = rarest(hot.select("no", "n", "line").repartition("no"), edits).withColumnRenamed("no", "r_")
+    hot = staged(hot.drop("line").join(rare, F.col("no") == F.col("r_")).drop("r_"), "line-rare")
     hot = staged(met(hot, F.min(F.struct("at", F.col("no").alias("least"))).alias("first")), "line-crowds")
-    large = hot.where(F.col("m") > CROWD)
-    tried = large.groupBy("no").agg(F.min("first").alias("first")).select("no", F.col("first.least").alias("other")).where("no <> other")
-    sure = staged(verified(tried), "line-sure")
-    left = large.join(sure.select(F.col("no").alias("s_")).distinct(), F.col("no") == F.col("s_"), "left_anti")
-    by_first = left.select("no", F.col("first.least").alias("other")).where("no <> other").distinct()
-    also = staged(verified(by_first), "line-also")
-    decided = sure.unionByName(also)
+    by_first = hot.select("no", F.col("first.least").alias("other")).where("no <> other").distinct()
+    decided = staged(verified(by_first), "line-sure")
     open_ = hot.join(decided.select(F.col("no").alias("s_")).distinct(), F.col("no") == F.col("s_"), "left_anti")
     few = ends.where(F.col("m") <= CROWD)
     decided = decided.unionByName(staged(verified(pairs_of(few, few, edits)), "line-few"))

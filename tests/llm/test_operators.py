@@ -252,6 +252,39 @@ def test_line_dedup_asks_for_earlier_lines_only(spark):
         assert [r["other"] for r in got.orderBy("other").collect()] == list(range(30))[30 - wanted :]
 
 
+def test_line_dedup_asks_few_lines_of_a_crowd_of_near_copies(spark, monkeypatch):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(45)]
+
+    def edited(words_, k):
+        got = list(words_)
+        for at in r.sample(range(45), k):
+            got[at] = word()
+        return " ".join(got)
+
+    texts = [" ".join(base), *[edited(base, r.choice((1, 2, 3, 3))) for _ in range(40)]]
+    texts += [t[:at] + c + t[at + 1 :] for t in texts[::4] for at, c in ((r.randrange(len(t)), "#"), (r.randrange(len(t)), ""))]
+    texts += ["x" * 300, "x" * 299, "x" * 290, "ab" * 150, "ab" * 149 + "a", "é" * 2000 + "z", "é" * 2000]
+    r.shuffle(texts)
+    rows, asked, real = list(enumerate(texts)), [], line_dedup.pairs_of
+    monkeypatch.setattr(line_dedup, "pairs_of", lambda *a: asked.append(real(*a).count()) or real(*a))
+    got = {x["doc_id"]: (x["n_equal"], x["n_near"]) for x in line_dedup.counted(frame(spark, rows), 4).collect()}
+    assert got == brute.lines_within(rows) and sum(n for _, n in got.values()) > 15
+    assert sum(asked) < 5 * len(rows)
+
+
+@pytest.mark.parametrize("own, other, wanted", [([], [], 0), ([0, 8, 30], [], 3), ([0, 40], [4, 80], 3), ([0], [12], 2), ([0], [11], 1), ([0, 8], [0, 8], 2)])
+def test_line_dedup_counts_edits_that_are_needed_at_least(spark, own, other, wanted):
+    lists = spark.createDataFrame([(own, other)], "own array<int>, other array<int>")
+    assert lists.select(line_dedup.least_edits(F.col("own"), F.col("other"), 4)).first()[0] == wanted
+
+
+def test_line_dedup_prints_each_text_once(spark, docs):
+    plan = line_dedup.lines(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("posexplode") < plan.index("md5")
+
+
 def test_licenses(spark):
     known = {"MIT": "Released under the MIT License.", "GPL": "This work is licensed under the GNU General Public License, version 3.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "CC-BY-NC": "Licensed under CC BY-NC 4.0."}
     rows = [(i, f"some prose here\n{t}\nand more") for i, t in enumerate(known.values())]
